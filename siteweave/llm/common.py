@@ -78,7 +78,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("node"), rank("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), rank("a").alias("to")))
         hook = checkpointed(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least(F.col("to"), rank("node"))["v"].alias("parent")))
         steps.append(hook)
-        left = edges.join(hook.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a").join(hook.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
+        side = broadcast_if_small(hook, 160)
+        left = edges.join(side.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a").join(side.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
         edges = checkpointed(left.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
         round_no += 1
     if not steps:
@@ -86,10 +87,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     # A node may hook to one that itself hooks on in the same round; the edge between the two lives on, so later rounds join them.
     roots = steps[0].select("node", F.col("parent").alias("root"))
     for hook in steps[1:]:
-        roots = roots.join(hook.select(F.col("node").alias("root"), "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
+        roots = roots.join(broadcast_if_small(hook, 160).select(F.col("node").alias("root"), "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
     roots = checkpointed(roots)
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    return checkpointed(roots.join(least, "root").select("node", "component"))
+    least = checkpointed(roots.groupBy("root").agg(F.min("node").alias("component")))
+    return checkpointed(roots.join(broadcast_if_small(least, 160), "root").select("node", "component"))
 
 
 #: Rows of ``documents`` are addressed by these two columns: the id, and a hash of the text that tells apart different rows with one id.
