@@ -27,6 +27,7 @@ an empty table gives empty tables; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import zlib
@@ -37,15 +38,14 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from .common import fresh_path, map_arrow, shared_dir
 
 MAGIC = b"SWT1"
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 32_768, 65_536
 BLOCK_IDS, LEVEL = 1 << 21, 3
-CACHE, CACHED_CHARS, TOGETHER = 400_000, 48, 1 << 15
-UNSAFE = re.compile(r"\s | \s|^ | $")
+CACHE, CACHED_CHARS, TOGETHER = 1_000_000, 48, 1 << 15
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -55,6 +55,9 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The same model without its own cache, which parts that are all different only slow down.
+        model = json.loads(self.tok.to_str())["model"]
+        self.tok.model = models.BPE(vocab=model["vocab"], merges=[tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]], cache_capacity=0)
         vocab = self.tok.get_vocab()
         self.width = 2 if max(vocab.values()) < 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
@@ -85,23 +88,29 @@ class Encoder:
         """The ids of each text, serialized."""
         if len(self.spaced) > CACHE:
             self.spaced.clear()
-        split: list[tuple[list[str], bool]] = []
+        get = self.spaced.get
+        rows: list[tuple[str, list[str], list[bytes | None]]] = []
         new: set[str] = set()
-        known = self.spaced.keys()
         for t in texts:
-            if UNSAFE.search(t):
-                parts = SAFE.split(t)
-                new.update(p[1:] for p in parts[1:] if p[1:] not in known)
-                split.append((parts[:1] + [p[1:] for p in parts[1:]], True))
-            else:
-                parts = t.split(" ")
-                new.update(set(parts[1:]).difference(known))
-                split.append((parts, False))
-        # A part that holds unsafe places inside is still one part: it starts behind a safe cut and ends before one.
+            head, *parts = t.split(" ")
+            found = list(map(get, parts))
+            if None in found or parts and (not head or head[-1].isspace()):
+                fresh = {p for p, ids in zip(parts, found, strict=True) if ids is None}
+                # Known parts have no white space at either end. If a fresh one has, or is empty, or the head ends in it, some cut was not safe.
+                if not all(p and not p[0].isspace() and not p[-1].isspace() for p in fresh) or parts and (not head or head[-1].isspace()):
+                    head, *parts = SAFE.split(t)
+                    parts = [p[1:] for p in parts]
+                    found = list(map(get, parts))
+                    fresh = {p for p, ids in zip(parts, found, strict=True) if ids is None}
+                new |= fresh
+            rows.append((head, parts, found))
         self._learn(list(new))
-        first = self._plain([p[0] for p, _ in split])
-        get = self.spaced.__getitem__
-        out = [head + b"".join(map(get, parts[1:])) for head, (parts, _) in zip(first, split, strict=True)]
+        first = self._plain([head for head, _, _ in rows])
+        out = []
+        for ids, (_, parts, found) in zip(first, rows, strict=True):
+            if None in found:
+                found = [x if x is not None else get(p) for p, x in zip(parts, found, strict=True)]
+            out.append(ids + b"".join(found))
         for p in new:
             if len(p) > CACHED_CHARS:
                 del self.spaced[p]
