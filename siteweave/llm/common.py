@@ -12,7 +12,7 @@ from ..session import prepare
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A side of a join is broadcast only below this many bytes, counted beforehand.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

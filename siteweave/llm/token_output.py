@@ -12,7 +12,7 @@ in a Parquet table ``blocks`` with the ids of their documents, beside a table
 ``dictionary``; any store that Spark can write to will do.
 
 The dictionary is trained on the serialized ids of a bounded sample: at most
-``SAMPLE`` documents of at most ``SAMPLE_CHARS`` characters, those of least hash.
+``2 * SAMPLE`` rows of at most ``SAMPLE_CHARS`` characters, of the ``SAMPLE`` ids of least hash.
 It affects sizes only, never contents.
 
 Text is cut for encoding before single spaces between two characters that are not
@@ -45,7 +45,7 @@ from .common import fresh_path, map_arrow, shared_dir
 MAGIC = b"SWT1"
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 32_768, 65_536
 BLOCK_IDS, LEVEL = 1 << 21, 3
-CACHE, CACHED_CHARS, TOGETHER = 1_000_000, 48, 1 << 15
+CACHE, CACHED_CHARS = 1_000_000, 48
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -71,17 +71,18 @@ class Encoder:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        """Encode parts that are not known, many at once: each behind its space is cut off from its neighbours anyway."""
-        for i in range(0, len(parts), TOGETHER):
-            some = parts[i : i + TOGETHER]
-            groups = [some[j : j + 2048] for j in range(0, len(some), 2048)]
-            for group, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        """Encode parts without inner spaces, many at once: each behind its space is cut off from its neighbours anyway."""
+        groups = [parts[j : j + 2048] for j in range(0, len(parts), 2048)]
+        for i in range(0, len(groups), 16):
+            some = groups[i : i + 16]
+            lines = [" " + " ".join(g) for g in some]
+            for group, line, e in zip(some, lines, self.tok.encode_batch_fast(lines, add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, dtype=self.kind)
-                ends = np.cumsum([1 + len(p.encode("utf-8", "surrogatepass")) for p in group])
-                cuts = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
-                data, w, a = ids.tobytes(), self.width, 0
-                for p, b in zip(group, cuts.tolist(), strict=True):
-                    self.spaced[p] = data[a * w : b * w]
+                ends = np.cumsum(np.fromiter(map(len, line.encode("utf-8", "surrogatepass").split(b" ")[1:]), np.int64, len(group)) + 1)
+                cuts = ((np.searchsorted(np.cumsum(self.size[ids]), ends) + 1) * self.width).tolist()
+                data, a = ids.tobytes(), 0
+                for p, b in zip(group, cuts, strict=True):
+                    self.spaced[p] = data[a:b]
                     a = b
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -91,20 +92,25 @@ class Encoder:
         get = self.spaced.get
         rows: list[tuple[str, list[str], list[bytes | None]]] = []
         new: set[str] = set()
+        odd: set[str] = set()  # parts with spaces inside
         for t in texts:
-            head, *parts = t.split(" ")
+            parts = t.split(" ")
+            head = parts.pop(0)
             found = list(map(get, parts))
             if None in found or parts and (not head or head[-1].isspace()):
                 fresh = {p for p, ids in zip(parts, found, strict=True) if ids is None}
                 # Known parts have no white space at either end. If a fresh one has, or is empty, or the head ends in it, some cut was not safe.
-                if not all(p and not p[0].isspace() and not p[-1].isspace() for p in fresh) or parts and (not head or head[-1].isspace()):
+                listed = list(fresh)
+                if "" in fresh or list(map(str.strip, listed)) != listed or parts and (not head or head[-1].isspace()):
                     head, *parts = SAFE.split(t)
                     parts = [p[1:] for p in parts]
                     found = list(map(get, parts))
                     fresh = {p for p, ids in zip(parts, found, strict=True) if ids is None}
+                    odd |= {p for p in fresh if " " in p}
                 new |= fresh
             rows.append((head, parts, found))
-        self._learn(list(new))
+        self._learn(list(new - odd))
+        self.spaced.update(zip(odd, self._plain([" " + p for p in odd]), strict=True))
         first = self._plain([head for head, _, _ in rows])
         out = []
         for ids, (_, parts, found) in zip(first, rows, strict=True):
@@ -166,8 +172,11 @@ class Block:
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> None:
     """Write ``blocks`` and ``dictionary`` under ``path``."""
     spark = docs.sparkSession
-    some = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(SAMPLE).collect()
-    dictionary = train_dictionary(encoder(tokenizer_path).encode_all([r[0] for r in some]))
+    # Ids of least hash among about twenty times as many as are wanted, so no task sends more than these few numbers.
+    n, h = docs.count(), F.xxhash64("doc_id")
+    least = docs.select(h.alias("h")).where(F.pmod("h", F.lit(max(1, n // (20 * SAMPLE)))) == 0).orderBy("h").limit(SAMPLE).collect()
+    some = docs.where(h.isin([r[0] for r in least])).where(F.length("text").between(1, SAMPLE_CHARS)).select("text").limit(2 * SAMPLE).collect()
+    dictionary = train_dictionary(encoder(tokenizer_path).encode_all(sorted(r[0] for r in some)))
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "hash string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
     schema = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("block", pa.binary())])
