@@ -180,8 +180,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group: that of the smallest id (null ids last, then the smallest text hash); columns as in ``docs``."""
     found = near_duplicates(docs)
-    group = F.when(F.col("component_id").isNull(), F.struct(F.col("fp"), F.lit(True))).otherwise(F.struct(F.col("component_id"), F.lit(False)))
-    first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col(ID).isNull().alias("n"), ID, TEXT_HASH)).alias("k"))
+    first = found.groupBy(F.col("component_id").isNull().alias("unnamed"), F.coalesce("component_id", "fp").alias("g")).agg(F.min(F.struct(F.col(ID).isNull().alias("n"), ID, TEXT_HASH)).alias("k"))
     keys = checkpointed(first.select(F.col(f"k.{ID}").alias(ID), F.col(f"k.{TEXT_HASH}").alias(TEXT_HASH)))
     kept = by_keys(docs, keys, "left_semi").select(docs.columns)
     twice = checkpointed(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))
