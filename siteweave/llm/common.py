@@ -12,7 +12,7 @@ from ..session import prepare
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A side of a join is broadcast only below this many bytes, counted beforehand.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,25 +72,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = checkpointed(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     spark, steps, round_no = edges.sparkSession, [], 0
-    kind = edges.schema["a"].dataType
+    kind = edges.schema["a"].dataType.simpleString()
+    size = 24 if kind == "bigint" else 160
     while not edges.isEmpty():
         rank = lambda c: F.struct(F.xxhash64(F.lit(round_no), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
         both = edges.select(F.col("a").alias("node"), rank("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), rank("a").alias("to")))
         hook = checkpointed(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least(F.col("to"), rank("node"))["v"].alias("parent")))
         steps.append(hook)
-        side = broadcast_if_small(hook, 160)
+        side = broadcast_if_small(hook, size)
         left = edges.join(side.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a").join(side.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
         edges = checkpointed(left.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
         round_no += 1
     if not steps:
-        return spark.createDataFrame([], f"node {kind.simpleString()}, component {kind.simpleString()}")
+        return spark.createDataFrame([], f"node {kind}, component {kind}")
     # A node may hook to one that itself hooks on in the same round; the edge between the two lives on, so later rounds join them.
     roots = steps[0].select("node", F.col("parent").alias("root"))
     for hook in steps[1:]:
-        roots = roots.join(broadcast_if_small(hook, 160).select(F.col("node").alias("root"), "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
+        roots = roots.join(broadcast_if_small(hook, size).select(F.col("node").alias("root"), "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
     roots = checkpointed(roots)
     least = checkpointed(roots.groupBy("root").agg(F.min("node").alias("component")))
-    return checkpointed(roots.join(broadcast_if_small(least, 160), "root").select("node", "component"))
+    return checkpointed(roots.join(broadcast_if_small(least, size), "root").select("node", "component"))
 
 
 #: Rows of ``documents`` are addressed by these two columns: the id, and a hash of the text that tells apart different rows with one id.
@@ -104,6 +105,7 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 def by_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Semi, anti or left join of ``with_keys(docs)`` to stored ``keys(ID, TEXT_HASH, ...)``; null ids match each other."""
-    right = broadcast_if_small(keys.select(*[F.col(c).alias(f"{c}_r" if c in (ID, TEXT_HASH) else c) for c in keys.columns]), 64)
+    # The other way shuffles all texts, so the checked bound is wider here than elsewhere.
+    right = broadcast_if_small(keys.select(*[F.col(c).alias(f"{c}_r" if c in (ID, TEXT_HASH) else c) for c in keys.columns]), 64, 4 * BROADCAST_BYTES)
     out = with_keys(docs).join(right, F.expr(f"{ID} <=> {ID}_r AND {TEXT_HASH} = {TEXT_HASH}_r"), how)
     return out.drop(ID, TEXT_HASH, f"{ID}_r", f"{TEXT_HASH}_r")

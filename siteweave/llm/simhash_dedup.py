@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ID, TEXT_HASH, by_keys, checkpointed, connected_components, map_arrow, stored
+from .common import ID, TEXT_HASH, broadcast_if_small, by_keys, checkpointed, connected_components, map_arrow, stored
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 PIECE = 1 << 16
@@ -180,9 +180,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group: that of the smallest id (null ids last, then the smallest text hash); columns as in ``docs``."""
     found = near_duplicates(docs)
-    first = found.groupBy(F.col("component_id").isNull().alias("unnamed"), F.coalesce("component_id", "fp").alias("g")).agg(F.min(F.struct(F.col(ID).isNull().alias("n"), ID, TEXT_HASH)).alias("k"))
-    keys = checkpointed(first.select(F.col(f"k.{ID}").alias(ID), F.col(f"k.{TEXT_HASH}").alias(TEXT_HASH)))
-    kept = by_keys(docs, keys, "left_semi").select(docs.columns)
+    key = F.struct(F.col(ID).isNull().alias("n"), ID, TEXT_HASH)
+    found = checkpointed(found.select(F.col("component_id").isNull().alias("unnamed"), F.coalesce("component_id", "fp").alias("g"), ID, TEXT_HASH))
+    first = checkpointed(found.groupBy("unnamed", "g").agg(F.min(key).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    # Those that go are fewer than those that stay, so they are what the texts are joined with.
+    lost = found.join(broadcast_if_small(first, 64), ["unnamed", "g"]).where(~key.eqNullSafe(F.col("first"))).select(ID, TEXT_HASH).distinct()
+    kept = by_keys(docs, checkpointed(lost), "left_anti").select(docs.columns)
     twice = checkpointed(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if twice.isEmpty():
         return kept

@@ -1,0 +1,221 @@
+"""Small fixtures with every odd case, against brute force."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import xxhash
+from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
+
+from siteweave.llm import bpe, chat_formatting as chat, common, decontamination as dec, html_extraction as html, line_dedup as lines, quality_rules as quality, secret_scan as secrets, simhash_dedup as sim, token_output as out, url_filters as urls
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, word string, fp string"
+PROSE = "the quick brown fox jumps over the lazy dog while seven other animals look on and wonder what it all may mean in the end"
+
+
+def docs(spark, texts):
+    rows = [(i, t, "en", "s/r", None if t is None else len(t), "x", "y") for i, t in texts]
+    return spark.createDataFrame(rows, DOCS)
+
+
+ODD = [(None, PROSE), (1, None), (2, ""), (3, PROSE), (3, PROSE), (4, PROSE.upper()), (5, "one two"), (6, "É école\tna\xefve  x\n\n" + PROSE + "\n" + PROSE), (7, "w" * 200_000), (8, " ".join(f"w{i}" for i in range(50_000)))]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return docs(spark, ODD)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (None, 3)]
+    got = dict(common.connected_components(spark.createDataFrame(chain, "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(30)}}
+    assert common.connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_decontamination(spark, odd):
+    words = PROSE.split()
+    items = spark.createDataFrame([(1, " ".join(words[2:12])), (2, "One two"), (3, " ".join(words[5:13])), (4, None), (5, ""), (None, "lazy")], "item_id long, text string")
+    got = dec.decontaminate(odd, items).collect()
+    assert len(got) == len(ODD)
+    split = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    wins = []
+    for i, t in [(1, " ".join(words[2:12])), (2, "One two"), (3, " ".join(words[5:13])), (None, "lazy")]:
+        w = split(t)
+        wins += [(i, w[k : k + 8]) for k in range(max(len(w) - 7, 1))]
+    want = []
+    for i, t in ODD:
+        w, hit, ids = split(t), set(), set()
+        for item, x in wins:
+            for k in range(len(w) - len(x) + 1):
+                if w[k : k + len(x)] == x:
+                    hit |= set(range(k, k + len(x)))
+                    ids |= {str(item)} if item is not None else set()
+        want.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), len(ids) >= 2))
+    assert sorted(map(str, want)) == sorted(str((r[common.ID], r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in got)
+    assert dec.decontaminate(odd.limit(0), items).count() == 0
+    kept = dec.remove_contaminated(odd, items)
+    assert kept.columns == odd.columns and kept.count() == sum(not w[5] for w in want)
+
+
+def test_proximity(spark):
+    d = docs(spark, [(1, "a x b y c"), (2, "c b a"), (3, "a q q q q q q b c")])
+    q = spark.createDataFrame([(0, ["a", "b", "c"])], "wid long, terms array<string>")
+    vocab = dec.vocabulary(q.selectExpr("explode(terms) term"))
+    index = dec.build_index(d, vocab)
+    hit = {r.rid for r in dec.proximity_matches(index, dec.query_plans(index, q, vocab), 4).select("rid").distinct().collect()}
+    ids = {r[0]: r[1] for r in index.where("tid = -1").select("rid", common.ID).collect()}
+    assert {ids[x] for x in hit} == {1, 2}
+
+
+def test_simhash(spark, odd):
+    got = sorted(str((r[common.ID], r.fp, r.component_id)) for r in sim.near_duplicates(odd).collect())
+    fps = [np.uint64(sim.fingerprint(t)).astype(np.int64).item() for _, t in ODD]
+    n = len(ODD)
+    group = list(range(n))
+    for _ in range(n):
+        for a in range(n):
+            for b in range(n):
+                if ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 2:
+                    group[a] = group[b] = min(group[a], group[b])
+    name = {g: min((ODD[i][0] for i in range(n) if group[i] == g and ODD[i][0] is not None), default=None) for g in group}
+    assert got == sorted(str((ODD[i][0], fps[i], name[group[i]])) for i in range(n))
+    kept = sim.keep_one(odd)
+    assert kept.columns == odd.columns and kept.count() == len(set(group))
+
+
+def test_fingerprint_by_bits():
+    words = PROSE.split()
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), seed=42) for i in range(len(words) - 2)]
+    assert sim.fingerprint(PROSE) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 255), min_size=1, max_size=60, unique=True))
+def test_bk_tree(values):
+    tree = sim.BKTree()
+    for v in values:
+        tree.add(v)
+    for v in values:
+        assert sorted(tree.nodes[i][0] for i in tree.near(v, 2)) == sorted(x for x in values if (x ^ v).bit_count() <= 2)
+
+
+def test_line_dedup(spark, odd):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron"
+    d = docs(spark, [(1, f"{base}\nshort line\nunique words stand here alone today"), (2, f"{base.upper()}\nshort line"), (3, f"  {base.replace(' ', '  ')} "), (4, None), (5, "")])
+    got = {r.doc_id: r.text for r in lines.dedup_lines(d).collect()}
+    assert got == {1: f"{base}\nshort line\nunique words stand here alone today", 2: "short line", 3: "", 4: None, 5: ""}
+    res = lines.dedup_lines(odd)
+    assert res.columns == odd.columns and res.count() == len(ODD)
+    assert lines.dedup_lines(odd.limit(0)).count() == 0
+
+
+def test_long_lines_have_the_same_fingerprint(spark):
+    text = " ".join(f"word{i % 977}" for i in range(20_000))
+    d = common.with_keys(docs(spark, [(1, text), (2, text)]))
+    got = {r.sim for r in lines.simhashed(d).collect()}
+    h = [xxhash.xxh64_intdigest(f"word{i % 977}".encode(), seed=42) for i in range(20_000)]
+    assert [x & (1 << 64) - 1 for x in got] == [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab. \n\té'<|1 ", max_size=40), max_size=8))
+def test_token_encoder(texts):
+    enc = out.encoder(P.path("byte_bpe_50k.json"))
+    ref = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ref.encode_special_tokens = True
+    for t, ids in zip(texts, enc.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, enc.kind).tolist() == ref.encode(t, add_special_tokens=False).ids
+
+
+def test_token_blocks(spark, odd):
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in out.tokenize(odd, P.path("byte_bpe_50k.json")).collect()), key=lambda r: r[2])
+    assert [g[:2] for g in got] == sorted(g[:2] for g in got) and [g[2] for g in got] == list(np.cumsum([0, *(g[3] for g in got)])[:-1])
+    ref = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    crc = lambda t: zlib.crc32(np.array([*ref.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted(g[4] for g in got) == sorted(crc(t) for _, t in ODD)
+    assert out.tokenize(odd.limit(0), P.path("byte_bpe_50k.json")).count() == 0
+    with pytest.raises(ValueError, match="another dictionary"):
+        out.Block(out.pack([b"\x01\x00"], 2, b""), b"x")
+
+
+def test_bpe(spark, odd):
+    ref = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = sorted((len(i := ref.encode(t or "").ids), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for _, t in ODD)
+    assert sorted(tuple(r)[1:] for r in bpe.encode_documents(odd, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab. \n\té'1 ", max_size=200))
+def test_safe_pieces(text):
+    enc = bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert sum((enc.encode_ordinary(p) for p in bpe.pieces(text, 7)), []) == enc.encode_ordinary(text)
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "<|x"]), st.text(alphabet="a<|>\\\né im_end", max_size=30)), max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_chat_round_trip(turns):
+    f = chat.render(turns)
+    assert chat.parse(f.text) == turns
+    _, offsets, hit = chat.encode(f, chat.tokenizer(P.path("byte_bpe_50k.json")))
+    got = [chat.unescape(t) for t in chat.masked_text(f.text, offsets, hit, f.spans)]
+    assert "".join(got) == "".join(t for r, t in turns if r == "assistant")
+
+
+def test_chat_rows(spark):
+    rows = spark.createDataFrame([(1, 1, "assistant", None), (1, 0, "user", "x"), (None, 0, None, "y"), (1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.n_turns for r in chat.digest(chat.format_conversations(rows, P.path("byte_bpe_50k.json"))).collect()}
+    assert got == {1: 3, None: 1}
+    assert chat.digest(chat.format_conversations(rows.limit(0), P.path("byte_bpe_50k.json"))).count() == 0
+
+
+PAGE = '<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><h1>A &amp; B{0}</h1><p>One<br>two  <b>three{0}<p>four</p><div class="comments"><p>first!</p></div><script>x="</p>"</script></article><footer>c</footer></body></html>'
+
+
+def test_html(spark):
+    rows = [(i, f"http://h.test/{i}", PAGE.format(i), "x") for i in range(4)] + [(9, None, None, "x"), (10, "http://h.test/z", "", "x"), (11, "http://h.test/cut", PAGE.format(1)[:200] + "<p", "x"), (12, "http://d.test/1", "<div id=top><ul><li><a href=x>menu</a></ul></div><div id=body><p>Long text that varies here and goes on.</p></div>", "x")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
+    assert [got[i] for i in range(4)] == [f"A & B{i}\n\nOne two three{i}\n\nfour" for i in range(4)]
+    assert got[9] == got[10] == "" and got[11].startswith("A & B1\n\nOne") and "Long text" in got[12]
+
+
+def test_wrapper_alignment():
+    a, b = html.parse("<ul><li>a</li><li>b</li></ul><p>x</p>")[1], html.parse("<ul><li>a</li></ul><div>y</div><p>z</p>")[1]
+    assert html.align(a, b) == [["ul", 0, 0, [["li", 0, 1, [["#", 0, 0, []]]]]], ["div", 1, 0, [["#", 0, 0, []]]], ["p", 0, 0, [["#", 0, 0, []]]]]
+    assert html.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl>")[1][0][3][0][0] == "(dt dd)"
+
+
+def test_urls(spark):
+    canon = '<link href="http://bad.test/x" rel="canonical">'
+    rows = [(1, "http://a.test/1", canon), (2, "http://ok.test/2#f", canon), (3, "http://bad.test/x?y", None), (4, None, None), (5, "no scheme", None), (6, "HTTP://X.Bad.test/x", None), (7, "http://c.test/", '<meta http-equiv=refresh content="0; url=/d">')]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), [("block", "bad.test", "/"), ("allow", "bad.test", "/x/y")]).collect()}
+    assert got == {1: (None, "block"), 2: (None, "block"), 3: ("bad.test/", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: ("bad.test/", "block"), 7: (None, "allow")}
+    both = urls.judge_urls(spark.createDataFrame(rows[:2], "page_id long, url string, html string"), [("block", "bad.test", "/"), ("allow", "ok.test", "/")])
+    assert {r.verdict for r in both.collect()} == {"allow"}
+
+
+def test_secrets(spark):
+    live, copied = "aB3xQ9zK7mW2pL5vT8nR4yC6", "Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2J"
+    rows = [(1, f"token = {live}!", "a/r"), (2, f"see {live} {'f' * 40}", "a/r"), *[(10 + i, f"e.g. {copied}", f"o{i}/r") for i in range(5)], (3, None, None), (4, "AKIA" + "A" * 12 + " password: short", "b/r")]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].spans == "assign:0:32" and got[1].n_assign == 1 and got[1].n_live == 1
+    assert got[2].spans == "opaque:4:28,hex:29:69" and got[10].spans == "" and got[10].n_copied == 1 and got[3].spans == ""
+    assert (got[4].n_access, got[4].n_assign) == (1, 0)
+
+
+def test_quality(spark, odd):
+    labels = spark.createDataFrame([(3, 1, 0), (None, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality.judge(odd, labels).collect()
+    assert len(got) == len(ODD) and all(not r.kept for r in got if r.n_words < 10)
+    assert quality.judge(odd, labels.limit(0)).where("kept").count() == sum(not r.base_failed for r in got)
+    assert quality.keep_good(odd, labels).columns == odd.columns and quality.judge(odd.limit(0), labels).count() == 0
+
+
+@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=40))
+def test_repeated_words(words):
+    wins = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    assert quality.repeated_words(words) == len({i + k for i, w in enumerate(wins) if wins.count(w) > 1 for k in range(5)})
