@@ -161,7 +161,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield batch()
 
     dealt = distinct.select(F.explode(shard_keys()).alias("key"), "fp")
-    # A key met once cannot link; only keys with company are sorted and handed to Python.
+    # All keys are sorted and handed to Python, also those met once, which give no edge.
     return map_arrow(dealt.repartition("key").sortWithinPartitions("key", "fp"), run, "a long, b long").distinct()
 
 
