@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import rules
 from ..functions.text import short_iri
 from ..functions.url import canonicalise_col, path_of
+from ..llm.common import checkpointed
 from .context import Context, full, rows
 
 CHECKS: dict[str, tuple[str, Callable[[Context], DataFrame]]] = {}
@@ -251,12 +252,15 @@ def cycle(c):
     inside = rows(own, "path", "path", "path", pattern=F.lit("cycle"))
     e = parent_edges(t).where("parent IS NOT NULL AND parent <> url")
     first = e.groupBy("site", F.col("url").alias("child")).agg(F.min_by("parent", F.struct("page_ord", "trail", "pos")).alias("up"), F.min("page_id").alias("page_id"))
-    # Each child has one parent: pointer doubling tells after log2(n) steps who can be reached; a node on a loop meets itself.
-    walk = first.select("site", F.col("child").alias("start"), F.col("up").alias("at"), F.array("up").alias("seen"))
-    for _ in range(6):
-        step = first.select("site", F.col("child").alias("at"), F.col("up").alias("next"))
-        walk = walk.join(step, ["site", "at"], "left").select("site", "start", F.coalesce("next", "at").alias("at"), F.when(F.col("next").isNotNull(), F.array_distinct(F.concat("seen", F.array("next")))).otherwise(F.col("seen")).alias("seen"))
-    loops = walk.where(F.array_contains("seen", F.col("start"))).withColumn("loop", F.array_join(F.array_sort("seen"), " > ")).join(first.select("site", F.col("child").alias("start"), "page_id"), ["site", "start"])
+    # Each child has one parent: after 2^k >= n steps by pointer doubling, who still has an ancestor is led to a loop, and these ancestors are the loops.
+    most = first.groupBy("site").count().agg(F.max("count")).first()[0] or 0
+    walk = checkpointed(first.select("site", F.col("child").alias("start"), F.col("up").alias("at"), F.col("child").alias("least")))
+    for _ in range(max(most - 1, 0).bit_length()):
+        step = walk.select("site", F.col("start").alias("at"), F.col("at").alias("next"), F.col("least").alias("other"))
+        walk = checkpointed(walk.join(step, ["site", "at"]).select("site", "start", F.col("next").alias("at"), F.least("least", "other").alias("least")))
+    on = walk.join(walk.select("site", F.col("at").alias("start")).distinct(), ["site", "start"], "left_semi").select("site", "start", "least")
+    named = on.groupBy("site", "least").agg(F.array_join(F.array_sort(F.collect_set("start")), " > ").alias("loop"))
+    loops = on.join(named, ["site", "least"]).join(first.select("site", F.col("child").alias("start"), "page_id"), ["site", "start"])
     return inside.unionByName(rows(loops, "loop", "loop", "start"))
 
 

@@ -113,3 +113,17 @@ def test_simhash(spark):
 
 def test_entry_names():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
+
+
+@pytest.mark.parametrize("n", [2, 8, 11])
+def test_breadcrumb_loops_of_any_length(spark, n):
+    """Page k's trail names k - 1 as its parent, around a loop; a tail of twenty pages leads into it, another chain to a root."""
+    u = lambda k: f"https://s.test/u{k:02}"
+    pairs = [(u((k - 1) % n), u(k)) for k in range(n)] + [(u(40 + k - 1) if k else u(0), u(40 + k)) for k in range(20)] + [(u(70 + k), u(71 + k)) for k in range(10)]
+    values, types = [], {}
+    for k, (parent, child) in enumerate(pairs):
+        types |= {f"_:b{k}": "BreadcrumbList", f"_:x{k}": "ListItem", f"_:y{k}": "ListItem"}
+        for at, (item, url) in enumerate([(f"_:x{k}", parent), (f"_:y{k}", child)]):
+            values += [(f"p{k}", f"_:b{k}", "itemListElement", "id", item), (f"p{k}", item, "position", "literal", str(at + 1)), (f"p{k}", item, "item", "id", url)]
+    got = keys(site(spark, values, pages=len(pairs), types=types), "breadcrumb.cycle")
+    assert got == {" > ".join(u(k) for k in range(n))}
