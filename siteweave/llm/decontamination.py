@@ -116,7 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, least
     return out.select(ID, TEXT_HASH, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns."""
-    bad = checkpointed(decontaminate(docs, items).where("contaminated").select(ID, TEXT_HASH).distinct())
+def remove_contaminated(docs: DataFrame, items: DataFrame, least_items: int = ITEMS) -> DataFrame:
+    """The rows of ``docs`` without windows of ``least_items`` items or more, with their columns."""
+    bad = checkpointed(decontaminate(docs, items, least_items=least_items).where("contaminated").select(ID, TEXT_HASH).distinct())
     return by_keys(docs, bad, "left_anti").select(docs.columns)

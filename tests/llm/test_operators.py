@@ -11,6 +11,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from siteweave.llm import bpe, chat_formatting as chat, common, decontamination as dec, html_extraction as html, line_dedup as lines, quality_rules as quality, secret_scan as secrets, simhash_dedup as sim, token_output as out, url_filters as urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, word string, fp string"
@@ -62,6 +63,15 @@ def test_decontamination(spark, odd):
     assert kept.columns == odd.columns and kept.count() == sum(not w[5] for w in want)
 
 
+def test_one_planted_passage_goes_in_the_pipeline(spark, tmp_path):
+    passage = "seventeen grey herons waited beside the old canal until the lock keeper opened the gates"
+    items = spark.createDataFrame([(1, passage), (2, "another item that no document of this small table ever holds at all")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = docs(spark, [(1, f"{PROSE} {passage} {PROSE}"), (2, PROSE)])
+    assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, d, str(tmp_path)).collect()] == [2]
+    assert dec.remove_contaminated(d, items).count() == 2 and dec.remove_contaminated(d, items, 1).count() == 1
+
+
 def test_proximity(spark):
     d = docs(spark, [(1, "a x b y c"), (2, "c b a"), (3, "a q q q q q q b c")])
     q = spark.createDataFrame([(0, ["a", "b", "c"])], "wid long, terms array<string>")
