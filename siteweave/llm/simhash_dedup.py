@@ -166,29 +166,31 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(ID, TEXT_HASH, fp, component_id)``: one row per row of ``docs`` with the smallest id of its group."""
+    """``(ID, TEXT_HASH, fp, group, component_id)``: one row per row of ``docs``, with a fingerprint that stands for its group and the group's smallest id."""
     prints = stored(fingerprints(docs), "fingerprints")
     least = checkpointed(prints.groupBy("fp").agg(F.min(ID).alias("least")))
     groups = connected_components(links(least.select("fp"), radius))
     groups = groups.select(F.col("node").alias("fp"), F.col("component").alias("group"))
     named = least.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
     best = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = named.join(best, "group").select("fp", "component_id")
-    return prints.join(named, "fp").select(ID, TEXT_HASH, "fp", "component_id")
+    named = named.join(best, "group").select("fp", "group", "component_id")
+    return prints.join(named, "fp").select(ID, TEXT_HASH, "fp", "group", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group: that of the smallest id (null ids last, then the smallest text hash); columns as in ``docs``."""
+    """One row of each near-duplicate group: that of the smallest id (null ids last, then the smallest text hash); columns as in ``docs``.
+
+    Ids do not make a group: rows of one id, or of none, stay apart unless their texts are alike.
+    """
     found = near_duplicates(docs)
     key = F.struct(F.col(ID).isNull().alias("n"), ID, TEXT_HASH)
-    found = checkpointed(found.select(F.col("component_id").isNull().alias("unnamed"), F.coalesce("component_id", "fp").alias("g"), ID, TEXT_HASH))
-    first = checkpointed(found.groupBy("unnamed", "g").agg(F.min(key).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    found = checkpointed(found.select("group", ID, TEXT_HASH))
+    first = checkpointed(found.groupBy("group").agg(F.min(key).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"))
     # Those that go are fewer than those that stay, so they are what the texts are joined with.
-    lost = found.join(broadcast_if_small(first, 64), ["unnamed", "g"]).where(~key.eqNullSafe(F.col("first"))).select(ID, TEXT_HASH).distinct()
+    lost = found.join(broadcast_if_small(first, 64), "group").where(~key.eqNullSafe(F.col("first"))).select(ID, TEXT_HASH).distinct()
     kept = by_keys(docs, checkpointed(lost), "left_anti").select(docs.columns)
-    twice = checkpointed(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    # Rows equal in id and text share a key, so none of them was lost to the other.
+    twice = checkpointed(found.groupBy(ID, TEXT_HASH).count().where("count > 1").select(ID, TEXT_HASH))
     if twice.isEmpty():
         return kept
-    again = F.col("doc_id").eqNullSafe(F.col("twice"))
-    twice = twice.select(F.col("doc_id").alias("twice"))
-    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    return by_keys(kept, twice, "left_anti").select(docs.columns).unionByName(by_keys(kept, twice, "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -98,6 +98,14 @@ def test_simhash(spark, odd):
     assert kept.columns == odd.columns and kept.count() == len(set(group))
 
 
+def test_keep_one_needs_like_texts(spark):
+    other = "completely unrelated words about rivers mountains and the slow weather of a northern island in late autumn"
+    third = "prices of copper rose again on monday after several mines had reported less output than the market expected"
+    d = docs(spark, [(None, PROSE), (None, other), (None, other), (7, third), (7, third), (7, "a recipe for soup needs onions carrots some salt and a great deal of patience on cold evenings"), (8, PROSE)])
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text[:5]) for r in sim.keep_one(d).collect()))
+    assert got == [(False, 7, "a rec"), (False, 7, "price"), (False, 8, PROSE[:5]), (True, 0, "compl")]
+
+
 def test_fingerprint_by_bits():
     words = PROSE.split()
     h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), seed=42) for i in range(len(words) - 2)]
