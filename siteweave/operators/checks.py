@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import rules
 from ..functions.text import short_iri
 from ..functions.url import canonicalise_col, path_of
-from ..llm.common import checkpointed
+from ..session import checkpointed
 from .context import Context, full, rows
 
 CHECKS: dict[str, tuple[str, Callable[[Context], DataFrame]]] = {}
