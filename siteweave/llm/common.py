@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import prepare
+from ..session import checkpointed, prepare, shared_dir
+
+__all__ = ["ID", "TEXT_HASH", "ascii_lower", "broadcast_if_small", "by_keys", "checkpointed", "connected_components", "fresh_path", "gathered", "map_arrow", "scratch", "shared_dir", "stored", "with_keys"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -15,18 +18,50 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="siteweave-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
+#: Rows of a counted intermediate that one partition holds; one partition alone needs no shuffles.
+PART_ROWS = 200_000
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _app_dir(spark: SparkSession) -> str:
+    """One folder for the intermediates of this application, removed when the driver's process ends."""
+    base = f"{shared_dir(spark).rstrip('/')}/siteweave-{spark.sparkContext.applicationId}"
+    if base not in _KNOWN:
+        _KNOWN.add(base)
+
+        def end() -> None:
+            with contextlib.suppress(Exception):  # the JVM may be gone already; the folder's name tells whose it was
+                _delete(spark, base)
+
+        atexit.register(end)
     return base
 
 
+_KNOWN: set[str] = set()
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Intermediates made inside are deleted at the end, when what was made of them has been written elsewhere."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/siteweave-{tag}-{uuid.uuid4().hex}"
+    path = f"{_app_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -42,16 +77,21 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint for small intermediates; Spark removes its files when nothing refers to them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, more: Column | None = None) -> DataFrame:
+    """Hint a broadcast when a count proves that ``df`` (already stored) fits; else leave the join to a shuffle.
+
+    ``row_bytes`` is for columns of fixed size; ``more`` gives the bytes of the others in a row, which are then summed.
+    """
+    if more is None:
+        most = limit // row_bytes
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    size = df.agg(F.sum(more + F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when a count proves that ``df`` (already stored) fits; else leave the join to a shuffle."""
-    most = limit // row_bytes
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, whose rows were counted, in partitions of ``PART_ROWS``; what follows on a single one needs no shuffle."""
+    return df.coalesce(max(1, -(-rows // PART_ROWS)))
 
 
 def ascii_lower(col: Column) -> Column:
@@ -67,31 +107,34 @@ def connected_components(edges: DataFrame) -> DataFrame:
     these pointers. Rounds are logarithmic in expectation, also on long chains.
     Aggregations combine map-side, so a hub with many edges is no hot task; the
     joins on contracted ends can be split by the adaptive skew join. Each round
-    ends in a checkpoint. Null ends and self-loops are ignored; nodes without an
-    edge are not returned.
+    ends in written tables (a checkpoint would keep the planner's size estimates,
+    which multiply in every join until they alone take minutes); what has become
+    small is held in few partitions. Null ends and self-loops are ignored; nodes
+    without an edge are not returned.
     """
-    edges = checkpointed(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = stored(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     spark, steps, round_no = edges.sparkSession, [], 0
     kind = edges.schema["a"].dataType.simpleString()
-    size = 24 if kind == "bigint" else 160
-    while not edges.isEmpty():
+    while n := edges.count():
+        edges = gathered(edges, n)
         rank = lambda c: F.struct(F.xxhash64(F.lit(round_no), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
-        both = edges.select(F.col("a").alias("node"), rank("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), rank("a").alias("to")))
-        hook = checkpointed(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least(F.col("to"), rank("node"))["v"].alias("parent")))
+        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), rank("b").alias("to")), F.struct(F.col("b").alias("node"), rank("a").alias("to")))).alias("e")).select("e.node", "e.to")
+        hook = stored(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least(F.col("to"), rank("node"))["v"].alias("parent")), "hooks")
+        # Every edge has at most two nodes, which bounds the hooks.
+        hook = gathered(hook, 2 * n)
         steps.append(hook)
-        side = broadcast_if_small(hook, size)
-        left = edges.join(side.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a").join(side.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
-        edges = checkpointed(left.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        left = edges.join(hook.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a").join(hook.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
+        edges = stored(left.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         round_no += 1
     if not steps:
         return spark.createDataFrame([], f"node {kind}, component {kind}")
     # A node may hook to one that itself hooks on in the same round; the edge between the two lives on, so later rounds join them.
     roots = steps[0].select("node", F.col("parent").alias("root"))
     for hook in steps[1:]:
-        roots = roots.join(broadcast_if_small(hook, size).select(F.col("node").alias("root"), "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
+        roots = roots.join(hook.select(F.col("node").alias("root"), "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
     roots = checkpointed(roots)
-    least = checkpointed(roots.groupBy("root").agg(F.min("node").alias("component")))
-    return checkpointed(roots.join(broadcast_if_small(least, size), "root").select("node", "component"))
+    roots = gathered(roots, roots.count())
+    return stored(roots.join(roots.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component"), "components")
 
 
 #: Rows of ``documents`` are addressed by these two columns: the id, and a hash of the text that tells apart different rows with one id.
@@ -103,9 +146,9 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({ID: F.col("doc_id"), TEXT_HASH: F.xxhash64("text")})
 
 
-def by_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Semi, anti or left join of ``with_keys(docs)`` to stored ``keys(ID, TEXT_HASH, ...)``; null ids match each other."""
+def by_keys(docs: DataFrame, keys: DataFrame, how: str, more: Column | None = None) -> DataFrame:
+    """Semi, anti or left join of ``with_keys(docs)`` to stored ``keys(ID, TEXT_HASH, ...)``; null ids match each other. ``more``: bytes of the keys' columns of no fixed size."""
     # The other way shuffles all texts, so the checked bound is wider here than elsewhere.
-    right = broadcast_if_small(keys.select(*[F.col(c).alias(f"{c}_r" if c in (ID, TEXT_HASH) else c) for c in keys.columns]), 64, 4 * BROADCAST_BYTES)
+    right = broadcast_if_small(keys.select(*[F.col(c).alias(f"{c}_r" if c in (ID, TEXT_HASH) else c) for c in keys.columns]), 64, 4 * BROADCAST_BYTES, more)
     out = with_keys(docs).join(right, F.expr(f"{ID} <=> {ID}_r AND {TEXT_HASH} = {TEXT_HASH}_r"), how)
     return out.drop(ID, TEXT_HASH, f"{ID}_r", f"{TEXT_HASH}_r")

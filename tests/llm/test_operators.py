@@ -124,20 +124,75 @@ def test_bk_tree(values):
 
 def test_line_dedup(spark, odd):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron"
-    d = docs(spark, [(1, f"{base}\nshort line\nunique words stand here alone today"), (2, f"{base.upper()}\nshort line"), (3, f"  {base.replace(' ', '  ')} "), (4, None), (5, "")])
-    got = {r.doc_id: r.text for r in lines.dedup_lines(d).collect()}
-    assert got == {1: f"{base}\nshort line\nunique words stand here alone today", 2: "short line", 3: "", 4: None, 5: ""}
+    d = docs(spark, [(1, f"{base}\nshort line\n\nunique words stand here alone today"), (2, f"{base.upper()}\nshort line\n"), (3, f"  {base.replace(' ', '  ')} "), (4, None), (5, ""), (6, f"{base.replace('eta ', 'eto ', 1)}\n--- ---"), (None, "--- ---")])
+    got = {r.doc_id: (r.text, r.n_chars) for r in lines.dedup_lines(d).collect()}
+    first = f"{base}\nshort line\n\nunique words stand here alone today"
+    assert got == {1: (first, len(first)), 2: ("", 0), 3: ("", 0), 4: (None, None), 5: ("", 0), 6: ("", 0), None: ("--- ---", 7)}
     res = lines.dedup_lines(odd)
     assert res.columns == odd.columns and res.count() == len(ODD)
-    assert lines.dedup_lines(odd.limit(0)).count() == 0
-
-
-def test_long_lines_have_the_same_fingerprint(spark):
-    text = " ".join(f"word{i % 977}" for i in range(20_000))
-    d = common.with_keys(docs(spark, [(1, text), (2, text)]))
-    got = {r.sim for r in lines.simhashed(d).collect()}
-    h = [xxhash.xxh64_intdigest(f"word{i % 977}".encode(), seed=42) for i in range(20_000)]
-    assert [x & (1 << 64) - 1 for x in got] == [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))]
+    assert lines.dedup_lines(odd.limit(0)).count() == 0 and lines.line_report(odd).count() == len(ODD)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_links_against_brute_force(spark):
+    """At least 0.9 of the pairs of edit similarity 0.8 share a group, and groups hold nothing that no chain of such pairs joins."""
+    rng = np.random.default_rng(5)
+    vocab = ["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 9))) for _ in range(300)]
+    texts = []
+    for n in [2, 4, 6, 8, 10, 12, 15, 20, 25, 30] * 4:
+        line = [str(w) for w in rng.choice(vocab, n)]
+        texts.append(" ".join(line))
+        for _ in range(2):
+            other = list(line)
+            for k in rng.choice(n, max(1, n // 12), replace=False):
+                other[k] = str(rng.choice(vocab))
+            texts.append(" ".join(other))
+    texts = sorted(set(texts))
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if min(len(texts[i]), len(texts[j])) >= 0.8 * max(len(texts[i]), len(texts[j])) and edits(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])) + 1e-9]
+    keyed = common.with_keys(docs(spark, list(enumerate(texts)))).select(common.ID, common.TEXT_HASH, "text")
+    distinct = lines.distinct_lines(lines.simhashed(keyed))
+    groups = {r.node: r.component for r in lines.line_links(keyed, distinct).collect()}
+    lid = {r[common.ID]: r.lid for r in distinct.collect()}
+    group = [groups.get(lid[i], -1 - i) for i in range(len(texts))]
+    assert len(alike) > 50 and sum(group[i] == group[j] for i, j in alike) >= 0.9 * len(alike)
+    edges = spark.createDataFrame([(lid[i], lid[j]) for i, j in alike], "a long, b long")
+    true = {r.node: r.component for r in common.connected_components(edges).collect()}
+    assert all(true.get(lid[i]) == true.get(lid[j]) for i in range(len(texts)) for j in range(i) if group[i] == group[j])
+
+
+def test_large_line_keys(spark, monkeypatch):
+    """Keys of more lines than are compared with each other go on to finer keys and lose nothing here."""
+    monkeypatch.setattr(lines, "SMALL", 3)
+    base = [f"word{i}" for i in range(40)]
+    texts = [" ".join([*base[:k], f"other{k}", *base[k + 1 :]]) for k in range(40)] + [" ".join(f"else{i}" for i in range(40))]
+    keyed = common.with_keys(docs(spark, list(enumerate(texts)))).select(common.ID, common.TEXT_HASH, "text")
+    distinct = lines.distinct_lines(lines.simhashed(keyed))
+    assert sorted(r.k for r in lines.line_links(keyed, distinct).groupBy("component").agg(lines.F.count("*").alias("k")).collect()) == [40]
+
+
+def block_bits(words):
+    """The two halves of a line's fingerprint, bit by bit."""
+    h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+    halves = [0, 0]
+    for b in range(8):
+        own = [x for x in h if x >> 61 == b]
+        for k in range(16):
+            halves[k // 8] |= (2 * sum(x >> k & 1 for x in own) > len(own)) << 8 * b + k % 8
+    return tuple(x - (x >> 63 << 64) for x in halves)
+
+
+def test_line_fingerprints(spark):
+    texts = [" ".join(f"word{i % 977}" for i in range(20_000)), " ".join(f"w{i}" for i in range(127)), "same " * 127, "a b a", "..."]
+    got = {(r.sim1, r.sim2) for r in lines.simhashed(common.with_keys(docs(spark, [(i, t) for i, t in enumerate([*texts, texts[0]])]))).collect()}
+    assert got == {block_bits(re.findall("[a-z0-9]+", t) or [t]) for t in texts}
 
 
 @settings(max_examples=60, deadline=None)
