@@ -280,14 +280,48 @@ def test_secrets(spark):
     assert (got[4].n_access, got[4].n_assign) == (1, 0)
 
 
+def plain_counts(text):
+    """The base counts, word by word and character by character."""
+    space = " \t\n\v\f\r"
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    rows = [x for x in text.split("\n") if x.strip(space)]
+    wins = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    inside = {i + k for i, w in enumerate(wins) if wins.count(w) > 1 for k in range(5)} if len(words) < 1000 else set()
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), sum(x in rows[:i] for i, x in enumerate(rows)), len(inside)
+
+
 def test_quality(spark, odd):
     labels = spark.createDataFrame([(3, 1, 0), (None, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality.judge(odd, labels).collect()
-    assert len(got) == len(ODD) and all(not r.kept for r in got if r.n_words < 10)
+    key = lambda i, *v: str((i, *v))
+    base = [(i, *plain_counts(t or "")) for i, t in ODD]
+    assert sorted(key(*b, b[1] < 10 or 100 * b[5] > 20 * b[1]) for b in base) == sorted(key(r[common.ID], r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got)
     assert quality.judge(odd, labels.limit(0)).where("kept").count() == sum(not r.base_failed for r in got)
     assert quality.keep_good(odd, labels).columns == odd.columns and quality.judge(odd.limit(0), labels).count() == 0
 
 
+def test_quality_scores_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    good, junk = [f"good{i}" for i in range(200)], [f"junk{i}" for i in range(200)]
+    texts = [" ".join(rng.choice(good, 40)) for _ in range(60)] + [" ".join(rng.choice(junk, 40)) for _ in range(30)]
+    d = docs(spark, list(enumerate(texts)))
+    got = {r[common.ID]: r for r in quality.judge(d, spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")).collect()}
+    split = lambda t, p: list(zip(*(t.split()[k:] for k in range(p + 1))))
+    want = np.zeros(len(texts))
+    for p, mix in enumerate(quality.MIX):
+        raw, target = {}, {}
+        for i, t in enumerate(texts):
+            for g in split(t, p):
+                raw[g] = raw.get(g, 0) + 1
+                target[g] = target.get(g, 0) + (i < 20)
+        n, m = sum(raw.values()), sum(target.values())
+        want += [np.mean([np.log((1 - mix) * (target[g] / m) / (raw[g] / n) + mix) for g in split(t, p)]) for t in texts]
+    # Two n-grams in one bucket are the only difference.
+    assert np.abs([got[i].score - want[i] for i in range(len(texts))]).max() < 0.05
+    assert all(got[i].kept == (got[i].score >= quality.THRESHOLD) for i in got) and not any(got[i].kept for i in range(60, 90)) and all(got[i].kept for i in range(60))
+    assert quality.bucket_bits(10**9) > quality.bucket_bits(10**8) > quality.bucket_bits(0) == quality.LEAST_BITS
+
+
 @given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=40))
 def test_repeated_words(words):
     wins = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
