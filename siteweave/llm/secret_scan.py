@@ -9,7 +9,8 @@ live or copied by the same rule.
 
 Cases: a null text is empty; a null repository counts as one unnamed repository;
 null ids and repeated rows are kept, one row each; an empty table gives an empty
-result; other columns are ignored. Texts are searched whole.
+result; other columns are ignored; a named column that is not there is an error.
+Texts are searched whole.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import broadcast_if_small, checkpointed, map_arrow, stored
 
@@ -51,10 +52,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def opaque_spans(text: str, base: list) -> list[tuple[int, int, int, str]]:
-    out = []
+    """``(start, kind, end, value)`` of opaque strings that overlap no base span. Both are in order, so each is passed once."""
+    out, at, reach = [], 0, 0
     for m in OPAQUE.finditer(text):
+        while at < len(base) and base[at][0] < m.end():
+            reach, at = max(reach, base[at][2]), at + 1
         v = m[0]
-        if re.search("[0-9]", v) and re.search("[A-Z]", v) and re.search("[a-z]", v) and entropy(v) >= ENTROPY and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
+        if reach <= m.start() and re.search("[0-9]", v) and re.search("[A-Z]", v) and re.search("[a-z]", v) and entropy(v) >= ENTROPY:
             out.append((m.start(), 3, m.end(), v))
     return out
 
@@ -63,33 +67,34 @@ def text_spans(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, *_ in sorted(spans))
 
 
-def scan(docs: DataFrame, repository: str = "source") -> DataFrame:
+def scan(docs: DataFrame, repository: str | Column = "source", owner: str | Column | None = None) -> DataFrame:
     """Per row: base counts and digest, live and copied candidates, and all spans.
 
-    ``repository`` names the column with a document's repository; its owner is the part before the first slash.
+    ``repository`` and ``owner`` are columns, or their names; without ``owner`` it is the part of the repository before the first slash.
     """
-    has = repository in docs.columns
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (F.col(repository).cast("string") if has else F.lit(None).cast("string")).alias("repo"), "text")
+    repo = (F.col(repository) if isinstance(repository, str) else repository).cast("string")
+    own = F.substring_index(repo, "/", 1) if owner is None else (F.col(owner) if isinstance(owner, str) else owner).cast("string")
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", repo.alias("repo"), own.alias("owner"), "text")
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.string())])
 
     def run(batches):
         for b in batches:
             counts, sha, spans = ([], [], []), [], []
-            for t in b.column(3):
+            for t in b.column(4):
                 text = t.as_py() or ""
                 own = base_spans(text)
                 for k in range(3):
                     counts[k].append(sum(x[1] == k for x in own))
                 sha.append(hashlib.sha256(text_spans(own).encode()).hexdigest())
                 spans.append([{"start": s, "kind": k, "end": e, "hash": hashlib.sha256(v.encode()).hexdigest()[:32]} for s, k, e, v in [*own, *opaque_spans(text, own)]])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(spans, pa.list_(span))], names=["rid", "doc_id", "repo", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(spans, pa.list_(span))], names=["rid", "doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = stored(map_arrow(base, run, f"rid long, doc_id {kind}, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<start: long, kind: int, end: long, hash: string>>"), "secrets")
-    each = found.where(F.size("spans") > 0).select("rid", F.coalesce("repo", F.lit("")).alias("repo"), F.explode("spans").alias("s"))
-    seen = each.select(F.col("s.hash").alias("hash"), "repo", F.substring_index("repo", "/", 1).alias("owner")).distinct()
+    found = stored(map_arrow(base, run, f"rid long, doc_id {kind}, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<start: long, kind: int, end: long, hash: string>>"), "secrets")
+    each = found.where(F.size("spans") > 0).select("rid", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner"), F.explode("spans").alias("s"))
+    seen = each.select(F.col("s.hash").alias("hash"), "repo", "owner").distinct()
     # Two counts of distinct values as two plain aggregations: each combines map-side, so a string that a third of all documents carry is no hot group.
-    repos = seen.groupBy("hash").agg(F.count("*").alias("n_repos"))
+    repos = seen.select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("n_repos"))
     owners = seen.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("n_owners"))
     status = checkpointed(repos.join(owners, "hash").select("hash", ((F.col("n_owners") <= OWNERS) & (F.col("n_repos") <= REPOSITORIES)).alias("live")))
     judged = each.select("rid", "s", F.col("s.hash").alias("hash")).join(broadcast_if_small(status, 80), "hash")
