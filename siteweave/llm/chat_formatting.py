@@ -87,18 +87,23 @@ def mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return hit
 
 
-def masked_text(text: str, offsets: np.ndarray, hit: np.ndarray, spans: np.ndarray) -> list[str]:
-    """The characters under the mask, clipped to the spans and each taken once, in order."""
-    out, done = [], 0
-    for (a, b), k in zip(offsets[hit], np.searchsorted(spans[:, 1], offsets[hit, 0], side="right"), strict=True):
-        a, b = max(a, spans[k, 0], done), min(b, spans[k, 1])
-        if b > a:
-            out.append((k, text[a:b]))
-            done = b
-    texts: dict[int, list[str]] = {}
-    for k, piece in out:
-        texts.setdefault(int(k), []).append(piece)
-    return ["".join(p) for _, p in sorted(texts.items())]
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of every id. A byte-level vocabulary writes printable bytes as themselves and the others, in order, from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in set(plain))
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    t = tokenizer(path)
+    out = [b""] * t.get_vocab_size()
+    for token, i in t.get_vocab().items():
+        out[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+    return out
+
+
+def masked_texts(ids: np.ndarray, hit: np.ndarray, pieces: list[bytes]) -> list[str]:
+    """The texts under the mask, one for each run of tokens; markers are tokens of their own, so no token lies on both sides of a run's end."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    return [unescape(b"".join(pieces[i] for i in ids[a:b].tolist()).decode()) for a, b in edges.reshape(-1, 2)]
 
 
 def encode(formatted: Formatted, tok: Tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +114,7 @@ def encode(formatted: Formatted, tok: Tokenizer) -> tuple[np.ndarray, np.ndarray
 
 
 def format_conversations(rows: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``(conv_id, formatted, ids, loss_mask, loss_texts)``, one row per conversation."""
+    """``(conv_id, formatted, ids, loss_mask, n_tokens)``, one row per conversation: ids as unsigned 32-bit integers, the mask as bits."""
     kind = rows.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
@@ -117,15 +122,14 @@ def format_conversations(rows: DataFrame, tokenizer_path: str) -> DataFrame:
 
         def close():
             f = render(turns)
-            ids, offsets, hit = encode(f, tok)
-            texts = [unescape(t) for t in masked_text(f.text, offsets, hit, f.spans)]
-            out.append((key, f.text, ids.astype("<u4").tobytes(), np.packbits(hit).tobytes(), len(ids), texts))
+            ids, _, hit = encode(f, tok)
+            out.append((key, f.text, ids.astype("<u4").tobytes(), np.packbits(hit).tobytes(), len(ids)))
 
         def batch(schema):
             rows = out[:]
             out.clear()
-            kinds = [schema, pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["conv_id", "formatted", "ids", "loss_mask", "n_tokens", "loss_texts"])
+            kinds = [schema, pa.string(), pa.binary(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["conv_id", "formatted", "ids", "loss_mask", "n_tokens"])
 
         schema = pa.int64()
         for b in batches:
@@ -144,25 +148,27 @@ def format_conversations(rows: DataFrame, tokenizer_path: str) -> DataFrame:
             yield batch(schema)
 
     dealt = rows.select("conv_id", "role", "text", "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return map_arrow(dealt.select("conv_id", "role", "text"), run, f"conv_id {kind}, formatted string, ids binary, loss_mask binary, n_tokens long, loss_texts array<string>")
+    return map_arrow(dealt.select("conv_id", "role", "text"), run, f"conv_id {kind}, formatted string, ids binary, loss_mask binary, n_tokens long")
 
 
-def digest(formatted: DataFrame) -> DataFrame:
-    """What can be read back from formatted conversations, as counts and digests."""
+def digest(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
+    """What can be read back from formatted conversations, as counts and digests: turns from the text, the loss texts from ids and mask."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
+        pieces = token_bytes(tokenizer_path)
         for b in batches:
             n, turns_sha, loss, loss_sha, size = [], [], [], [], []
-            for text, texts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, ids, bits, tokens in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 turns = parse(text)
                 n.append(len(turns))
                 turns_sha.append(hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
-                under = "".join(texts)
+                hit = np.unpackbits(np.frombuffer(bits, np.uint8), count=tokens).astype(bool)
+                under = "".join(masked_texts(np.frombuffer(ids, "<u4"), hit, pieces))
                 loss.append(len(under))
                 loss_sha.append(hashlib.sha256(under.encode()).hexdigest())
                 size.append(len(text))
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(turns_sha, pa.string()), pa.array(loss, pa.int64()), pa.array(loss_sha, pa.string()), pa.array(size, pa.int64()), b.column(3)]
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(turns_sha, pa.string()), pa.array(loss, pa.int64()), pa.array(loss_sha, pa.string()), pa.array(size, pa.int64()), b.column(4)]
             yield pa.RecordBatch.from_arrays(cols, names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"])
 
-    return map_arrow(formatted.select("conv_id", "formatted", "loss_texts", "n_tokens"), run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    return map_arrow(formatted.select("conv_id", "formatted", "ids", "loss_mask", "n_tokens"), run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")

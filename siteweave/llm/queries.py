@@ -27,8 +27,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    formatted = chat_formatting.format_conversations(rows.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json"))
-    return chat_formatting.digest(formatted).drop("n_tokens")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chat_formatting.digest(chat_formatting.format_conversations(rows.unionByName(extra), path), path).drop("n_tokens")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"))
+    # A source owns its documents; those of one language in it are a repository.
+    return secret_scan.scan(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang"), "source")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
