@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpointed, prepare, shared_dir
 
-__all__ = ["ID", "TEXT_HASH", "ascii_lower", "broadcast_if_small", "by_keys", "checkpointed", "connected_components", "fresh_path", "gathered", "map_arrow", "scratch", "shared_dir", "stored", "with_keys"]
+__all__ = ["ID", "TEXT_HASH", "ascii_lower", "broadcast_if_small", "by_keys", "checkpointed", "connected_components", "delete", "fresh_path", "gathered", "map_arrow", "scratch", "shared_dir", "stored", "with_keys"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,7 +22,8 @@ BROADCAST_BYTES = 4 << 20
 PART_ROWS = 200_000
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store it lies."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -36,7 +37,7 @@ def _app_dir(spark: SparkSession) -> str:
 
         def end() -> None:
             with contextlib.suppress(Exception):  # the JVM may be gone already; the folder's name tells whose it was
-                _delete(spark, base)
+                delete(spark, base)
 
         atexit.register(end)
     return base
@@ -54,7 +55,7 @@ def scratch(spark: SparkSession):
         yield
     finally:
         for path in _SCOPES.pop():
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
