@@ -425,3 +425,36 @@ def test_quality_scores_against_brute_force(spark):
 def test_repeated_words(words):
     wins = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
     assert quality.repeated_words(words) == len({i + k for i, w in enumerate(wins) if wins.count(w) > 1 for k in range(5)})
+
+
+def test_pipeline_stages(spark, tmp_path, monkeypatch):
+    """The whole pipeline on odd rows: each stage against what its operator decides, row by row, and on an empty table."""
+    passage = "seventeen grey herons waited beside the old canal until the lock keeper opened the gates"
+    rng = np.random.default_rng(9)
+    prose = lambda: " ".join(rng.choice([f"word{i}" for i in range(50)], 60))
+    own = [prose() for _ in range(6)]
+    rows = [*ODD, (20, own[0]), (21, own[0]), (22, own[1]), (22, own[2]), (None, own[3]), (None, own[4]), (23, f"{own[5]} {passage}")]
+    d = docs(spark, rows)
+    d.write.parquet(f"{tmp_path}/a/documents.parquet")
+    for at, frame in (("a", d), ("b", d.limit(0))):
+        if at == "b":
+            frame.write.parquet(f"{tmp_path}/b/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in (3, 20, 21, 22, 23)], "doc_id long, quality int, toxic int").limit(0 if at == "b" else 9).write.parquet(f"{tmp_path}/{at}/labels.parquet")
+        spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{at}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    first, inputs = d, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, first = first, common.checkpointed(stage(spark, first, f"{tmp_path}/a"))
+        inputs.append((before.collect(), first.collect()))
+        assert first.columns == d.columns
+    (_, good), (_, cut), (_, one), (_, clean) = inputs
+    assert sorted(map(str, good)) == sorted(str(r) for r in d.collect() if not (lambda c: c[0] < 10 or 100 * c[4] > 20 * c[0])(quality.base_counts(r.text or "")) and r.doc_id not in (4, 8))
+    # Every line survives once in the whole table.
+    alive = [x for r in cut for x in (r.text or "").split("\n") if x.strip()]
+    assert len(cut) == len(good) and len({x.lower().strip() for x in alive}) == len(alive)
+    fps = [sim.fingerprint(r.text) for r in cut]
+    heads = {min(k for k in range(len(fps)) if (fps[i] ^ fps[k]).bit_count() <= 2) for i in range(len(fps))}
+    assert len(one) == len(heads) and {own[1], own[2], own[3], own[4]} <= {r.text for r in one}
+    assert sorted(map(str, clean)) == sorted(str(r) for r in one if passage not in (r.text or ""))
+    assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in clean)
