@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import ID, TEXT_HASH, by_keys, checkpointed, map_arrow, stored
 
-#: Buckets of words, and of pairs: 2 to the power of these bits at least, and at most (a bound on the memory of a worker; more n-grams then share a bucket).
+#: Buckets of words, and a quarter as many of pairs: 2 to the power of these bits at least, and at most (a bound on the memory of a worker; more n-grams then share a bucket).
 LEAST_BITS, MOST_BITS = 16, 25
 #: Buckets grow as this power of the corpus' characters, like the number of different words does.
-GROWTH, PER = 0.6, 4
+GROWTH, PER, PAIR_BITS = 0.6, 4, 2
 TRUSTED = 20_000
 #: Share of the corpus' distribution in that of the trusted text, for words and for pairs.
 MIX = (0.5, 0.9)
@@ -44,6 +44,8 @@ LEAST_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 # Fixed values of the base counts.
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\v\f\r"
 PIECE = 1 << 18
+#: N-grams that a worker holds before it counts them.
+FLUSH = 1 << 21
 
 
 def bucket_bits(chars: int) -> int:
@@ -56,7 +58,7 @@ def buckets(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     mult, drop = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
     one = h * mult >> drop
-    two = ((h[:-1] * mult ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) * mult >> drop) + np.uint64(1 << bits)
+    two = ((h[:-1] * mult ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) * mult >> drop + np.uint64(PAIR_BITS)) + np.uint64(1 << bits)
     return one.astype(np.int64), two.astype(np.int64)
 
 
@@ -133,7 +135,7 @@ def count_ngrams(docs: DataFrame, trusted: np.ndarray, bits: int) -> DataFrame:
                     if good:
                         good_held += k
                     n += len(k[0]) + len(k[1])
-                if n > 1 << 22:
+                if n > FLUSH:
                     yield batch()
                     held, good_held, n = [], [], 0
         if n:
@@ -147,7 +149,7 @@ def log_ratios(counts: DataFrame, bits: int) -> np.ndarray:
     """Log of target over raw probability for every bucket, words first; zeros where nothing is trusted. What reaches the driver is bounded by the buckets."""
     pair = (F.col("bucket") >= 1 << bits).cast("int")
     totals = {r[0]: (r[1], r[2]) for r in counts.groupBy(pair.alias("p")).agg(F.sum("raw"), F.sum("target")).collect()}
-    out = np.zeros(2 << bits, np.float32)
+    out = np.zeros((1 << bits) + (1 << bits - PAIR_BITS), np.float32)
     if not totals.get(0, (0, 0))[1]:
         return out
     table = counts.select("bucket", F.col("raw").cast("double"), F.col("target").cast("double")).toArrow()
