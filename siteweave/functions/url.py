@@ -9,14 +9,12 @@ from urllib.parse import unquote, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from ..rules import ASSETS
+
 # Parameters that only track, and the prefix of a family of them.
 TRACKING = ("_ga", "_gl", "fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid", "ttclid", "twclid")
 TRACKING_PREFIX = "utm_"
 PORTS = {"http": 80, "https": 443}
-#: Path endings that are no pages.
-ASSETS = frozenset(
-    "7z aac avi avif bmp bz2 css csv dmg doc docx eot exe flac gif gz ico iso jpeg jpg js json m4a m4v map mjs mkv mov mp3 mp4 mpeg mpg msi odp ods odt ogg ogv otf pdf pkg png ppt pptx ps rar rss rtf svg tar tgz tif tiff ttf txt wav webm webp wmv woff woff2 xls xlsx xml zip".split()
-)
 _ESCAPE = re.compile(r"%([0-9a-fA-F]{2})")
 _UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 

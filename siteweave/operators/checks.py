@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import rules
-from ..functions.text import short_iri
+from ..functions.text import https_schema, short_iri
 from ..functions.url import canonicalise_col, path_of
 from ..session import checkpointed
 from .context import Context, full, rows
@@ -45,13 +45,18 @@ def contexts(c):
 
 
 # ---- entity
+def is_functional(prop):
+    """A property of the vocabulary, by its whole address in either spelling, that has one value."""
+    return https_schema(prop).isin(*["https://schema.org/" + p for p in rules.FUNCTIONAL])
+
+
 def contradictions(c: Context) -> DataFrame:
     """Per entity and property: value buckets, carriers and observations. Divergence under one id is what matters; absence is not."""
     obs = c.groups.groupBy("site", "node_id").agg(F.count("*").alias("n_obs")).where("n_obs >= 2")
     v = c.values.join(c.groups.select("site", "page_id", "node_ord", "node_id"), ["site", "page_id", "node_ord", "node_id"], "left_semi")
     per = v.groupBy("site", "node_id", "page_id", "node_ord", "prop").agg(F.to_json(F.array_sort(F.collect_list("denoted"))).alias("value_key"))
     buckets = per.groupBy("site", "node_id", "prop").agg(F.count_distinct("value_key").alias("n_buckets"), F.count("*").alias("n_carriers"))
-    functional = short_iri(F.col("prop")).isin(*rules.FUNCTIONAL)
+    functional = is_functional(F.col("prop"))
     scoped = (F.col("n_buckets") >= 5) & (F.col("n_buckets") >= 0.9 * F.col("n_obs"))
     verdict = F.when((F.col("n_buckets") == 1) & (F.col("n_carriers") < F.col("n_obs")), "partiality").when(F.col("n_buckets") == 1, "consistent").when(~functional, "multi-valued").when(scoped, "page-scoped").otherwise("contradiction")
     return per.join(buckets.join(obs, ["site", "node_id"]).withColumn("verdict", verdict), ["site", "node_id", "prop"])
@@ -95,7 +100,7 @@ def type_conflict(c):
 
 @check("entity.multi-value", "warning")
 def multi_value(c):
-    v = c.values.where(short_iri(F.col("prop")).isin(*rules.FUNCTIONAL))
+    v = c.values.where(is_functional(F.col("prop")))
     many = v.groupBy("site", "page_id", "node_ord", "node_id", "prop").agg(F.count_distinct("denoted").alias("k")).where("k >= 2").drop("k")
     return rows(v.join(many, many.columns, "left_semi"), F.concat_ws("|", "node_id", "prop"), "node_id", "denoted", "prop", short_iri(F.col("prop")))
 
@@ -164,11 +169,11 @@ def blank_entity(c):
 # ---- value
 def placeholder_class(text):
     """The first class whose rule fits the trimmed text, or null."""
-    out, t = None, F.lower(F.trim(text))
+    out, t = None, F.trim(text)
     for label, p in rules.PLACEHOLDERS:
-        hit = (F.trim(text) if label == "template code" else t).rlike(p)
+        hit = t.rlike("(?i)" + p)
         out = F.when(hit, label) if out is None else out.when(hit, label)
-    return F.when(F.trim(text) != "", out)
+    return F.when(t != "", out)
 
 
 @check("value.placeholder", "error")
@@ -500,19 +505,18 @@ def competing(c):
     return rows(p.select("site", "page_id", F.explode_outer("microdata_types").alias("t")), F.lit(ALL), F.lit(ALL), "t")
 
 
-# Types that are about the page and not its subject, and what subjects descend from.
-NON_SUBJECT = ("WebPage", "WebSite", "BreadcrumbList", "ListItem", "ImageObject", "SearchAction", "ItemList", "Organization", "Person", "PostalAddress")
-SUBJECT = ("Product", "Event", "Article", "Recipe", "Place", "LocalBusiness", "CreativeWork", "Service")
-
-
 @check("coverage.type-gap", "opportunity")
 def type_gap(c):
-    p = c.pages.where("http_status = 200").withColumn("segment", F.regexp_extract(path_of(F.col("canonical_url")), "^/([^/]+)/", 1)).where("segment <> ''")
+    parts = F.filter(F.split(path_of(F.col("canonical_url")), "/"), lambda x: x != "")
+    # The index page of a section, of one part, is no member of it.
+    p = c.pages.where("http_status = 200").withColumn("parts", parts).where(F.size("parts") >= 2).withColumn("segment", F.col("parts")[0]).drop("parts")
     sizes = p.groupBy("site", "segment").agg(F.count_distinct("page_id").alias("n")).where("n >= 10")
-    many = p.groupBy("site").agg(F.count_distinct("segment").alias("s")).where("s >= 2")
-    subject = c.closure.where(F.col("ancestor").isin(*SUBJECT) & ~F.col("type").isin(*NON_SUBJECT)).select("type").distinct()
-    has = c.nodes.select("site", "page_id", F.explode("types").alias("iri")).select("site", "page_id", short_iri(F.col("iri")).alias("type")).distinct().join(subject, "type", "left_semi")
-    member = p.join(sizes, ["site", "segment"]).join(many, "site", "left_semi")
+    up = c.closure.groupBy("type").agg(F.collect_set("ancestor").alias("up"))
+    own = F.array(*map(F.lit, rules.SUBJECT))
+    subject = up.where(F.arrays_overlap("up", own) & ~F.array_contains("up", "Action") & ~F.col("type").isin(*rules.NON_SUBJECT)).select("type")
+    bare = F.regexp_replace("iri", "^https?://schema\\.org/", "")
+    has = c.nodes.select("site", "page_id", F.explode("types").alias("iri")).select("site", "page_id", bare.alias("type")).distinct().join(subject, "type", "left_semi")
+    member = p.join(sizes, ["site", "segment"])
     share = member.join(has, ["site", "page_id"]).groupBy("site", "segment", "type", "n").agg(F.count_distinct("page_id").alias("k")).where("k >= 0.8 * n AND k < n")
     lacking = member.drop("n").join(share, ["site", "segment"]).join(has, ["site", "page_id", "type"], "left_anti")
     return rows(lacking.where(F.lit(not c.partial)), F.concat_ws("|", "segment", "type"), "segment", "canonical_url", "type", F.col("type"))

@@ -72,13 +72,13 @@ class Context:
     @cached_property
     def index(self) -> DataFrame:
         """One row per node id: the last observation."""
-        at = F.struct("page_ord", "node_ord")
+        at = F.struct("page_ord", "node_ord", "page_id")
         return self.nodes.groupBy("site", "node_id").agg(F.max(at).alias("at"), F.max_by("page_id", at).alias("page_id"), F.max_by("types", at).alias("types"), F.bool_and("is_blank").alias("is_blank"))
 
     @cached_property
     def index_values(self) -> DataFrame:
-        last = self.index.select("site", "node_id", F.col("at.page_ord").alias("page_ord"), F.col("at.node_ord").alias("node_ord"))
-        return self.raw_values.join(last, ["site", "node_id", "page_ord", "node_ord"], "left_semi")
+        last = self.index.select("site", "node_id", "page_id", F.col("at.page_ord").alias("page_ord"), F.col("at.node_ord").alias("node_ord"))
+        return self.raw_values.join(last, ["site", "node_id", "page_id", "page_ord", "node_ord"], "left_semi")
 
     @cached_property
     def values(self) -> DataFrame:
@@ -97,7 +97,7 @@ class Context:
 
     @cached_property
     def groups(self) -> DataFrame:
-        """Observations of named entities that have a type or a property."""
+        """Observations of named entities that have a type and a property."""
         has = self.raw_values.where("prop IS NOT NULL").select("site", "page_id", "node_ord", "node_id").distinct().withColumn("has", F.lit(True))
         o = self.nodes.where("NOT is_blank").join(has, ["site", "page_id", "node_ord", "node_id"], "left")
         return o.where(F.col("has") & (F.size("types") > 0)).drop("has")
@@ -146,15 +146,18 @@ def findings(observed: DataFrame) -> DataFrame:
     return out.withColumn("finding_id", finding_id(F.col("check"), F.col("key")))
 
 
-def aggregate(found: DataFrame) -> DataFrame:
-    """Three or more findings of one check and pattern become one whose rows are the largest of them."""
+def aggregate(found: DataFrame, observed: DataFrame) -> DataFrame:
+    """Three or more findings of one check and pattern become one whose rows are the largest of them; its pages are all of theirs, from ``observed``."""
     what = ["site", "check", "severity", "pattern"]
     sizes = found.where("pattern IS NOT NULL").groupBy(*what).agg(F.count("*").alias("instance_count")).where(F.col("instance_count") >= AGGREGATE_FROM)
     single = found.join(sizes, what, "left_anti").withColumn("instance_count", F.lit(1).cast("long"))
     many = found.join(sizes, what, "left_semi")
     ranked = many.withColumn("k", F.row_number().over(Window.partitionBy(*what).orderBy(F.desc("pages_affected"), "key")))
     item = F.struct("k", F.concat_ws(" ", "subject", "property").alias("value"), F.col("pages_affected").alias("page_count"))
-    merged = ranked.groupBy(*what).agg(F.array_sort(F.collect_list(F.when(F.col("k") <= LISTED, item))).alias("observed"), F.greatest(F.count("*") - LISTED, F.lit(0)).alias("omitted_count"), F.max("pages_affected").alias("pages_affected"), F.count("*").alias("instance_count"))
+    merged = ranked.groupBy(*what).agg(F.array_sort(F.collect_list(F.when(F.col("k") <= LISTED, item))).alias("observed"), F.greatest(F.count("*") - LISTED, F.lit(0)).alias("omitted_count"), F.count("*").alias("instance_count"))
+    union = observed.select("site", "check", "severity", "key", "page_id").join(many.select("site", "check", "severity", "key", F.col("pattern").alias("shared")), ["site", "check", "severity", "key"])
+    union = union.groupBy("site", "check", "severity", F.col("shared").alias("pattern")).agg(F.count_distinct("page_id").alias("pages_affected"))
+    merged = merged.join(union, what)
     merged = merged.withColumns({"key": F.concat(F.lit("aggregate|"), "pattern"), "subject": F.lit(None).cast("string"), "property": F.lit(None).cast("string")})
     merged = merged.withColumn("finding_id", finding_id(F.col("check"), F.col("key")))
     return single.unionByName(merged.select(single.columns))

@@ -94,11 +94,11 @@ def graph_identity_fracture_part(spark, sf_dir):
     return checks.fracture(ctx).select(F.col("key").alias("pair"), F.col("subject").alias("name")).distinct()
 
 
-@query("SELECT DISTINCT 'https://o.test/#' || l_orderkey AS node_id FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')")
+@query("SELECT DISTINCT 'https://o.test/#' || l_orderkey AS node_id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_custkey FROM orders)")
 def graph_dangling_reference(spark, sf_dir):
     iri = lambda c: F.concat(F.lit("https://o.test/#"), F.col(c).cast("string"))
-    orders = adapt(spark, table(spark, sf_dir, "orders").where("o_orderdate >= timestamp'1998-01-01'"), iri("o_orderkey"), F.lit("p"), F.lit("x"))
-    lines = adapt(spark, table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp'1996-01-01'"), F.concat_ws("/", "l_orderkey", "l_linenumber"), F.lit("p"), iri("l_orderkey"), "isPartOf", what="id")
+    orders = adapt(spark, table(spark, sf_dir, "orders"), iri("o_custkey"), F.lit("p"), F.lit("x"))
+    lines = adapt(spark, table(spark, sf_dir, "lineitem"), F.concat_ws("/", "l_orderkey", "l_linenumber"), F.lit("p"), iri("l_orderkey"), "isPartOf", what="id")
     lines.nodes_all, lines.pages_all = lines.nodes_all.unionByName(orders.nodes_all), lines.pages_all.limit(1)
     return checks.dangling(lines).select(F.col("subject").alias("node_id")).distinct()
 
@@ -115,7 +115,7 @@ def google_missing_required(spark, sf_dir):
     return checks.missing_required(ctx).select(F.col("value").alias("node_id"), F.col("subject").alias("type"), F.col("property").alias("fields"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS node_id, CASE WHEN c_acctbal < 0 THEN 'unset title' ELSE 'sample person' END AS label FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS node_id, CASE WHEN c_acctbal < 0 THEN 'unset title' ELSE 'placeholder person' END AS label FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'")
 def value_placeholder(spark, sf_dir):
     text = F.expr("CASE WHEN c_acctbal < 0 THEN ' Untitled ' WHEN c_mktsegment = 'BUILDING' THEN 'Jane Doe' ELSE c_name END")
     ctx = adapt(spark, table(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("c_custkey"), text)
@@ -209,9 +209,9 @@ def crawl_frontier_replay(spark, sf_dir):
     return crawl.replay(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type", "event_id")
 
 
-@query("SELECT CAST(o_custkey AS VARCHAR) AS final_url, CAST(min(o_orderkey) AS VARCHAR) AS url, count(*) - 1 AS n_aliases FROM orders WHERE o_orderkey <> o_custkey GROUP BY o_custkey")
+@query("SELECT CAST(o_custkey AS VARCHAR) AS final_url, CAST(CASE WHEN bool_or(o_orderkey = o_custkey) THEN o_custkey ELSE min(o_orderkey) END AS VARCHAR) AS url, count(*) - 1 AS n_aliases FROM orders GROUP BY o_custkey")
 def crawl_redirect_reconcile(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey <> o_custkey").select(F.lit("s").alias("site"), F.col("o_custkey").cast("string").alias("final_url"), F.col("o_orderkey").cast("string").alias("url"), F.col("o_orderkey").alias("ord"))
+    o = table(spark, sf_dir, "orders").select(F.lit("s").alias("site"), F.col("o_custkey").cast("string").alias("final_url"), F.col("o_orderkey").cast("string").alias("url"), F.col("o_orderkey").alias("ord"))
     return crawl.reconcile(o).drop("site")
 
 
@@ -244,7 +244,7 @@ def breadcrumb_multiple_parents(spark, sf_dir):
     return e.groupBy("url").agg(F.count_distinct("parent").alias("n_parents")).where("n_parents >= 2")
 
 
-@query(f"""WITH p AS (SELECT {HOST} AS host, regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]+)/', 1) AS seg, page_id FROM pages),
+@query(f"""WITH p AS (SELECT {HOST} AS host, regexp_extract(url, '^[a-z]+://[^/?#]*/+([^/?#]+)/+[^/?#]', 1) AS seg, page_id FROM pages),
 q AS (SELECT seg, page_id, page_id % 10 <> 3 AS has FROM p WHERE seg <> ''), g AS (SELECT seg, count(*) AS n, count(*) FILTER (has) AS k FROM q GROUP BY seg)
 SELECT seg AS segment, page_id FROM q JOIN g USING (seg) WHERE n >= 10 AND k >= 0.8 * n AND k < n AND NOT has""")
 def coverage_type_gap(spark, sf_dir):
@@ -255,14 +255,15 @@ def coverage_type_gap(spark, sf_dir):
     return found.select(F.col("subject").alias("segment"), F.col("page_id").cast("long").alias("page_id"))
 
 
-def _event_findings(spark: SparkSession, sf_dir: str, rest: int) -> DataFrame:
-    e = table(spark, sf_dir, "events").where(F.col("event_id") % 2 == rest).select(F.lit("s").alias("site"), F.col("event_id").cast("string").alias("page_id"), "user_id", "event_type")
-    return findings(rows(e, "user_id", "user_id", "event_type").select(F.lit("value.empty").alias("check"), F.lit("error").alias("severity"), "*"))
+def _event_rows(spark: SparkSession, sf_dir: str, rest: int | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    e = (e if rest is None else e.where(F.col("event_id") % 2 == rest)).select(F.lit("s").alias("site"), F.col("event_id").cast("string").alias("page_id"), "user_id", "event_type")
+    return rows(e, "user_id", "user_id", "event_type").select(F.lit("value.empty").alias("check"), F.lit("error").alias("severity"), "*")
 
 
-@query("SELECT sha256('value.empty|' || user_id)[1:12] AS finding_id, CAST(user_id AS VARCHAR) AS key, count(*) AS pages_affected, count(DISTINCT event_type) AS n_values FROM events WHERE event_id % 2 = 0 GROUP BY user_id")
+@query("SELECT sha256('value.empty|' || user_id)[1:12] AS finding_id, CAST(user_id AS VARCHAR) AS key, count(*) AS pages_affected, count(DISTINCT event_type) AS n_values FROM events GROUP BY user_id")
 def report_findings(spark, sf_dir):
-    f = _event_findings(spark, sf_dir, 0)
+    f = findings(_event_rows(spark, sf_dir))
     return f.select("finding_id", "key", "pages_affected", (F.size("observed") + F.col("omitted_count")).cast("long").alias("n_values"))
 
 
@@ -272,17 +273,17 @@ SELECT sha256('value.empty|' || coalesce(a.user_id, b.user_id))[1:12] AS finding
        CASE WHEN b.user_id IS NULL THEN 'resolved' WHEN a.user_id IS NULL THEN 'appeared' WHEN a.sig <> b.sig THEN 'changed' ELSE 'unchanged' END AS status
 FROM (SELECT * FROM s WHERE half = 0) a FULL JOIN (SELECT * FROM s WHERE half = 1) b ON a.user_id = b.user_id""")
 def report_diff(spark, sf_dir):
-    one = lambda rest: _event_findings(spark, sf_dir, rest).withColumn("instance_count", F.lit(1))
+    one = lambda rest: findings(_event_rows(spark, sf_dir, rest)).withColumn("instance_count", F.lit(1))
     return engine.diff_reports(one(0), one(1)).select("finding_id", "status")
 
 
-@query("""WITH f AS (SELECT user_id, count(*) AS pages, user_id % 7 AS pattern FROM events GROUP BY user_id), g AS (SELECT pattern, count(*) AS n, max(pages) AS pages FROM f GROUP BY pattern)
+@query("""WITH f AS (SELECT user_id, count(*) AS pages, user_id % 7 AS pattern FROM events GROUP BY user_id), g AS (SELECT pattern, count(*) AS n, sum(pages)::BIGINT AS pages FROM f GROUP BY pattern)
 SELECT 'aggregate|' || pattern AS key, n AS instance_count, pages AS pages_affected FROM g WHERE n >= 3
 UNION ALL SELECT CAST(user_id AS VARCHAR), 1, f.pages FROM f JOIN g USING (pattern) WHERE n < 3""")
 def report_aggregate(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.lit("s").alias("site"), F.col("event_id").cast("string").alias("page_id"), "user_id")
-    f = findings(rows(e, "user_id", "user_id", "user_id", pattern=F.col("user_id") % 7).select(F.lit("url.canonical-mismatch").alias("check"), F.lit("warning").alias("severity"), "*"))
-    return aggregate(f).select("key", "instance_count", "pages_affected")
+    seen = rows(e, "user_id", "user_id", "user_id", pattern=F.col("user_id") % 7).select(F.lit("url.canonical-mismatch").alias("check"), F.lit("warning").alias("severity"), "*")
+    return aggregate(findings(seen), seen).select("key", "instance_count", "pages_affected")
 
 
 @query("WITH p AS (SELECT DISTINCT l_orderkey AS page, l_returnflag || l_linestatus AS part FROM lineitem), n AS (SELECT count(DISTINCT page) AS n FROM p) SELECT part, count(*) AS k FROM p, n GROUP BY part, n HAVING count(*) >= 0.8 * n AND n >= 5 UNION ALL SELECT 'total', n FROM n")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import rules
 from ..operators.checks import CHECKS
 from ..operators.context import Context, aggregate, findings, order
+from ..session import checkpointed
 
 
 def selected(disable: tuple[str, ...] = ()) -> list[str]:
@@ -29,7 +30,9 @@ def observations(ctx: Context, names: list[str]) -> DataFrame:
 
 def run_checks(ctx: Context, disable: tuple[str, ...] = ()) -> DataFrame:
     """Ordered findings of all selected checks."""
-    found = aggregate(findings(observations(ctx, selected(disable))))
+    # Read twice, for findings and for the pages of aggregates, so kept in the shared folder.
+    seen = checkpointed(observations(ctx, selected(disable)))
+    found = aggregate(findings(seen), seen)
     qualified = F.col("check").isin("graph.dangling-reference", "graph.orphan-node", "coverage.competing-syntax", "coverage.no-structured-data") & F.lit(ctx.partial)
     return order(found.withColumn("coverage_qualified", qualified))
 
@@ -51,7 +54,7 @@ def build_report(ctx: Context, found: DataFrame, most: int = 5000) -> dict:
     """One document of the findings (a bounded list) and counts of all."""
     by = lambda c: {r[c]: r["count"] for r in found.groupBy(c).count().collect()}
     listed = [r.asDict(recursive=True) for r in found.limit(most).collect()]
-    return {"report_schema": 1, "partial": ctx.partial, "pages": ctx.pages.count(), "by_severity": by("severity"), "by_check": by("check"), "findings": listed}
+    return {"report_schema": 1, "partial": ctx.partial, "pages": ctx.pages.count(), "by_severity": by("severity"), "by_check": by("check"), "findings": listed, "findings_left_out": max(0, sum(by("check").values()) - most)}
 
 
 def to_markdown(report: dict) -> str:
