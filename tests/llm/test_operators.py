@@ -1,6 +1,7 @@
 """Small fixtures with every odd case, against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -260,10 +261,60 @@ def test_html(spark):
     assert got[9] == got[10] == "" and got[11].startswith("A & B1\n\nOne") and "Long text" in got[12]
 
 
+def _form(page):
+    return html.empty(html.parse(page)[1])
+
+
 def test_wrapper_alignment():
-    a, b = html.parse("<ul><li>a</li><li>b</li></ul><p>x</p>")[1], html.parse("<ul><li>a</li></ul><div>y</div><p>z</p>")[1]
+    a, b = _form("<ul><li>a</li><li>b</li></ul><p>x</p>"), _form("<ul><li>a</li></ul><div>y</div><p>z</p>")
     assert html.align(a, b) == [["ul", 0, 0, [["li", 0, 1, [["#", 0, 0, []]]]]], ["div", 1, 0, [["#", 0, 0, []]]], ["p", 0, 0, [["#", 0, 0, []]]]]
-    assert html.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl>")[1][0][3][0][0] == "(dt dd)"
+    assert _form("<dl><dt>a<dd>b<dt>c<dd>d</dl>")[0][3][0][0] == "(dt dd)"
+
+
+def _fits(page, wrapper):
+    """Brute force: the page's items are a subsequence of the wrapper's, at every level, repeats allowed."""
+    if wrapper and wrapper[0][0] == html.ANY:
+        kinds = {x[0]: x for x in wrapper[0][3]}
+        return all(x[0] in kinds and (x[0] == html.SLOT or _fits(x[3], kinds[x[0]][3])) for x in (page[0][3] if page and page[0][0] == html.ANY else page))
+    if not page:
+        return True
+    return any(w[0] == page[0][0] and (w[0] == html.SLOT or _fits(page[0][3], w[3])) and _fits(page[1:], wrapper[i:]) for i, w in enumerate(wrapper))
+
+
+def test_wrappers_fit_their_pages():
+    rng = random.Random(5)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth and rng.random() < 0.6 else 'x'}</{t}>" for t in rng.choices(("div", "section", "div class=k3", "ul"), k=rng.randint(1, 4))).replace("</div class=k3>", "</div>")
+
+    for _ in range(200):
+        pages = [tree(2) for _ in range(rng.randint(1, 3))]
+        wrapper = _form(pages[0])
+        for p in pages[1:]:
+            wrapper = html.align(wrapper, _form(p))
+        assert all(_fits(_form(p), wrapper) for p in pages)
+    many = [f"<div class={''.join(rng.choices('abcdefgh', k=4))}>x</div>" for _ in range(3000)]
+    wrapper = html.align(_form("".join(many[:1500])), _form("".join(many[1500:])))
+    blocks, form = html.parse("".join(many[:1500]))
+    assert wrapper[0][0] == html.ANY and len(wrapper[0][3]) <= html.KINDS
+    assert len(html.match(form, html.numbered(wrapper))) == len(blocks) == 1500
+
+
+def test_html_layouts(spark):
+    plain = '<html><body><div id="top-0"><a href="/">Home</a></div><div id=content><h1>T{0}</h1><div class=lead>lead {0}</div><div class="col side-by-side"><p class="share">Price {0}</p></div><section class="related-work"><p>body {0} goes on and on</p></section><p class="hidden-gem">gem {0}</p></div><div class="kommentare"><p>reader {0}</p></div><aside>x</aside></body></html>'
+    two = "<main><article><p>one {0}</p></article><form><p>f</p></form><article class=b><p>two {0}</p></article></main>"
+    rows = [(i, f"http://a.test/{i}", plain.format(i)) for i in range(4)] + [(10 + i, f"http://b.test/{i}", two.format(i)) for i in range(4)]
+    rows += [(20, "http://b.test/odd", "<div><p>an odd page</p></div>"), (None, "http://c.test/", "<div>" * 5000 + "deep"), (None, "http://c.test/", "<a " * 300_000), (30, "http://c.test/", "a < b <p>" + "w " * 500_000), (30, "http://c.test/", "a < b <p>" + "w " * 500_000)]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, expression string")
+    got = [(r.page_id, r.text) for r in html.extract(d).collect()]
+    assert len(got) == len(rows)
+    texts = dict(got)
+    for i in range(4):
+        assert texts[i] == f"T{i}\n\nlead {i}\n\nPrice {i}\n\nbody {i} goes on and on\n\ngem {i}"
+        assert texts[10 + i] == f"one {i}\n\ntwo {i}"
+    assert texts[20] == "an odd page" and sorted(t for k, t in got if k is None) == ["", "deep"]
+    assert [len(t) for k, t in got if k == 30] == [len("a < b") + 2 + 999_999] * 2
+    assert html.extract(d.limit(0)).count() == 0
 
 
 def test_urls(spark):
