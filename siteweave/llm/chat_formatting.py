@@ -22,6 +22,7 @@ import hashlib
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -109,8 +110,9 @@ def masked_texts(ids: np.ndarray, hit: np.ndarray, pieces: list[bytes]) -> list[
 def encode(formatted: Formatted, tok: Tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, offsets in code points, and the loss mask."""
     enc = tok.encode(formatted.text, add_special_tokens=False)
-    offsets = np.array(enc.offsets, dtype=np.int64).reshape(-1, 2)
-    return np.array(enc.ids, dtype=np.uint32), offsets, mask(offsets, formatted.spans)
+    ids = enc.ids
+    offsets = np.fromiter(chain.from_iterable(enc.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
+    return np.array(ids, dtype=np.uint32), offsets, mask(offsets, formatted.spans)
 
 
 def format_conversations(rows: DataFrame, tokenizer_path: str) -> DataFrame:
