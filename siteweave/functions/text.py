@@ -44,19 +44,21 @@ def simhash(text: Column, size: int = 3) -> Column:
 
     Each shingle's first 64 bits of SHA-256 vote; votes are counted bit by bit over the array, without leaving the JVM.
     """
+    # One struct in an array: what a lambda refers to is computed once, not for each of the 64 bits.
+    let = lambda value, then: F.transform(F.array(value), then)[0]
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
+    half = lambda s, at: F.conv(F.substring(s, at, 8), 16, 10).cast("long")
+    digest = lambda w, i: F.sha2(F.array_join(F.slice(w, i, size), " "), 256)
+    halves = lambda w: F.transform(starts(w), lambda i: let(digest(w, i), lambda s: F.struct(half(s, 1).alias("high"), half(s, 9).alias("low"))))
+
+    def digits(v: Column, part: str) -> Column:
+        on = lambda at: 2 * F.size(F.filter(v, lambda x: F.call_function("shiftright", x[part], at).bitwiseAND(1) != 0)) > F.size(v)
+        bits = F.transform(F.sequence(F.lit(31), F.lit(0)), lambda at: F.when(on(at), "1").otherwise("0"))
+        return F.lpad(F.lower(F.conv(F.array_join(bits, ""), 2, 16)), 8, "0")
+
     words = F.filter(F.split(normalise(F.lower(text)), " "), lambda w: w != "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1)))
-    shingles = F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " ")))
-    digests = F.transform(shingles, lambda s: F.substring(F.sha2(s, 256), 1, 16))
-    nibbles = []
-    for digit in range(16):
-        votes = F.transform(digests, lambda s: F.conv(F.substring(s, digit + 1, 1), 16, 10).cast("int"))  # noqa: B023
-        value = F.lit(0)
-        for bit in range(4):
-            on = F.size(F.filter(votes, lambda v: v.bitwiseAND(8 >> bit) != 0))  # noqa: B023
-            value = value + F.when(2 * on > F.size(shingles), 8 >> bit).otherwise(0)
-        nibbles.append(F.lower(F.hex(value)))
-    return F.concat(*nibbles)
+    voted = let(words, lambda w: F.when(F.size(w) == 0, F.lit("0" * 16)).otherwise(let(halves(w), lambda v: F.concat(digits(v, "high"), digits(v, "low")))))
+    return F.when(text.isNotNull(), voted)
 
 
 def useless_alt(alt: Column) -> Column:

@@ -43,7 +43,10 @@ def sitemap_repeats(entries: DataFrame) -> DataFrame:
     return e.where("k > 1").select("site", "url", F.col("sitemap").alias("from_sitemap"), "first_sitemap")
 
 
-def chrome(parts: DataFrame, least_pages: int = 5, share: float = 0.8) -> DataFrame:
-    """``parts(site, page_id, part)``: parts (block hashes or link targets) on at least four fifths of a site's pages."""
-    pages = parts.groupBy("site").agg(F.count_distinct("page_id").alias("n")).where(F.col("n") >= least_pages)
+def chrome(parts: DataFrame, least_pages: int = 5, share: float = 0.8, pages: DataFrame | None = None) -> DataFrame:
+    """``parts(site, page_id, part)``: parts (block hashes or link targets) on at least four fifths of a site's pages.
+
+    Pages are those with a part, or all of ``pages(site, page_id)`` where given.
+    """
+    pages = (parts if pages is None else pages).groupBy("site").agg(F.count_distinct("page_id").alias("n")).where(F.col("n") >= least_pages)
     return parts.groupBy("site", "part").agg(F.count_distinct("page_id").alias("k")).join(pages, "site").where(F.col("k") >= share * F.col("n")).select("site", "part", "k", "n")

@@ -174,13 +174,18 @@ def extract(page_id: str, url: str, html: str | None, site_host: str | None = No
     return [{"page_id": page_id, "ord": i, "kind": r.pop("kind"), "payload": json.dumps(r, ensure_ascii=False)} for i, r in enumerate(out)]
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """``(page_id string, ord, kind, payload)`` of ``pages(page_id, url, html)``; read the payloads with ``from_json``."""
+def extract_pages(pages: DataFrame, keep: str = "") -> DataFrame:
+    """``(page_id string, ord, kind, payload)`` of ``pages(page_id, url, html)``; read the payloads with ``from_json``.
+
+    ``keep`` names further columns, with their types, that every row repeats (``"site string"``).
+    """
     prepare(pages.sparkSession)
+    names = [c.split()[0] for c in keep.split(", ") if c]
 
     def run(frames):
         for f in frames:
-            rows = [r for p, u, h in zip(f.page_id, f.url, f.html, strict=True) for r in extract(p, u if isinstance(u, str) else "", h if isinstance(h, str) else "")]
-            yield pd.DataFrame(rows, columns=["page_id", "ord", "kind", "payload"])
+            also = list(zip(*(f[n] for n in names), strict=True)) if names else [()] * len(f)
+            rows = [(*a, *r.values()) for a, p, u, h in zip(also, f.page_id, f.url, f.html, strict=True) for r in extract(p, u if isinstance(u, str) else "", h if isinstance(h, str) else "")]
+            yield pd.DataFrame(rows, columns=[*names, "page_id", "ord", "kind", "payload"])
 
-    return pages.selectExpr("cast(page_id as string) page_id", "url", "html").mapInPandas(run, "page_id string, ord int, kind string, payload string")
+    return pages.selectExpr(*names, "cast(page_id as string) page_id", "url", "html").mapInPandas(run, (f"{keep}, " if keep else "") + "page_id string, ord int, kind string, payload string")

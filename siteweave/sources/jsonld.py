@@ -160,19 +160,20 @@ def expand(page_id: str, url: str, block: int, body: str) -> tuple[list[dict], s
 NODE_VALUES = "page_id string, page_ord long, node_ord int, node_id string, raw_id string, is_blank boolean, types array<string>, prop string, val_ord int, kind string, text string, error string"
 
 
-def node_values(blocks: DataFrame) -> DataFrame:
-    """The long form of nodes from ``blocks(page_id, page_ord, url, block, body)``: one row per value; nodes without values have one row with a null property; faults one row with an error."""
+def node_values(blocks: DataFrame, keep: str = "") -> DataFrame:
+    """The long form of nodes from ``blocks(page_id, page_ord, url, block, body)``: one row per value; nodes without values have one row with a null property; faults one row with an error. ``keep`` names one more column, with its type, that every row repeats."""
     prepare(blocks.sparkSession)
+    names = [c.split()[0] for c in keep.split(", ") if c]
 
     def run(frames):
         for f in frames:
             rows = []
-            for p, o, u, b, body in zip(f.page_id, f.page_ord, f.url, f.block, f.body, strict=True):
+            for *also, p, o, u, b, body in zip(*(f[n] for n in [*names, "page_id", "page_ord", "url", "block", "body"]), strict=True):
                 nodes, error = expand(p, u, int(b), body)
                 if error:
-                    rows.append((p, o, None, None, None, None, None, None, None, None, None, error))
+                    rows.append((*also, p, o, None, None, None, None, None, None, None, None, None, error))
                 for i, n in enumerate(nodes):
-                    head, any_value = (p, o, int(b) * 100_000 + i, n["node_id"], n["raw_id"], n["is_blank"], n["types"]), False
+                    head, any_value = (*also, p, o, int(b) * 100_000 + i, n["node_id"], n["raw_id"], n["is_blank"], n["types"]), False
                     for prop, values in n["props"].items():
                         k = 0
                         for v in values:
@@ -181,6 +182,6 @@ def node_values(blocks: DataFrame) -> DataFrame:
                                 k, any_value = k + 1, True
                     if not any_value:
                         rows.append((*head, None, None, None, None, None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODE_VALUES.split(", ")])
+            yield pd.DataFrame(rows, columns=[*names, *[c.split()[0] for c in NODE_VALUES.split(", ")]])
 
-    return blocks.select("page_id", "page_ord", "url", "block", "body").mapInPandas(run, NODE_VALUES)
+    return blocks.select(*names, "page_id", "page_ord", "url", "block", "body").mapInPandas(run, (f"{keep}, " if keep else "") + NODE_VALUES)
