@@ -15,7 +15,7 @@ from ..operators import checks, crawl
 from ..operators.context import NODE_SCHEMA, Context, aggregate, findings, rows
 from ..session import prepare
 from ..sources.html import extract_pages
-from . import engine
+from . import engine, extraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -299,4 +299,39 @@ def text_hamming(spark, sf_dir):
     return v.alias("x").join(v.alias("y"), F.col("y.vec_id") == F.col("x.vec_id") + 1).select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), hamming(m("x.vec_id"), m("y.vec_id")).alias("distance"))
 
 
+def _sites(spark: SparkSession, sf_dir: str) -> extraction.Extraction:
+    """What is extracted from the stored HTML of ``pages``; a host is a site."""
+    p = table(spark, sf_dir, "pages")
+    return extraction.extract_site(p.select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("site"), "page_id", F.col("page_id").alias("ord"), "url", "html"))
+
+
+@query(rf"""WITH l AS (SELECT page_id, {HOST} AS site, unnest(regexp_extract_all(html, '<a href="([^"#][^"]*)"', 1)) AS path FROM pages),
+n AS (SELECT {HOST} AS site, count(*) AS n FROM pages GROUP BY 1), t AS (SELECT site, path, count(DISTINCT page_id) AS k FROM l GROUP BY 1, 2)
+SELECT page_id, l.path, n >= 5 AND k >= 0.8 * n AS in_chrome FROM l JOIN n USING (site) JOIN t ON t.site = l.site AND t.path = l.path""")
+def extract_links_in_chrome(spark, sf_dir):
+    e = _sites(spark, sf_dir).links
+    return e.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("to", "^[a-z]+://[^/]+", "").alias("path"), "in_chrome")
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(h1|p)>', ' ', 'g'), '<[^>]*>', '', 'g') AS text FROM pages)
+SELECT page_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS extractable_words, 0::BIGINT AS hidden_words FROM a""")
+def extract_words(spark, sf_dir):
+    return _sites(spark, sf_dir).pages.select(F.col("page_id").cast("long").alias("page_id"), *[F.col(f"facts.{c}").cast("long").alias(c) for c in ("extractable_words", "hidden_words")])
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, {HOST} AS site, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, html FROM pages),
+l AS (SELECT page_id, origin || unnest(regexp_extract_all(html, '<a href="([^"#][^"]*)"', 1)) AS target FROM p),
+w AS (SELECT site, page_id FROM p WHERE len(regexp_extract_all(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(h1|p)>', ' ', 'g'), '<[^>]*>', '', 'g'), '\S+')) < 25),
+d AS (SELECT site, title FROM p WHERE title <> '' GROUP BY site, title HAVING count(*) > 1),
+o AS (SELECT 'coverage.no-structured-data' AS check_id, site, page_id FROM p
+  UNION ALL SELECT 'coverage.missing-expected-entity', site, NULL FROM p
+  UNION ALL SELECT 'indexing.thin-sitemap-entry', site, page_id FROM w
+  UNION ALL SELECT 'page.title-duplicate', site, page_id FROM p JOIN d USING (site, title)
+  UNION ALL SELECT 'link.orphan', site, page_id FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.target = regexp_extract(p.url, '^[^?]*') AND l.page_id <> p.page_id))
+SELECT site, check_id, count(DISTINCT page_id) AS pages_affected FROM o GROUP BY site, check_id""")
+def site_findings(spark, sf_dir):
+    """All checks over what is extracted from the stored HTML."""
+    return engine.run_checks(_sites(spark, sf_dir).context()).select("site", F.col("check").alias("check_id"), "pages_affected")
+
+
 __all__ = ["NODE_SCHEMA", "ORACLES", "QUERIES", "finding_id"]
