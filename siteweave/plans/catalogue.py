@@ -322,11 +322,12 @@ def extract_words(spark, sf_dir):
 @query(rf"""WITH p AS (SELECT page_id, url, {HOST} AS site, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, html FROM pages),
 l AS (SELECT page_id, origin || unnest(regexp_extract_all(html, '<a href="([^"#][^"]*)"', 1)) AS target FROM p),
 w AS (SELECT site, page_id FROM p WHERE len(regexp_extract_all(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(h1|p)>', ' ', 'g'), '<[^>]*>', '', 'g'), '\S+')) < 25),
-d AS (SELECT site, title FROM p WHERE title <> '' GROUP BY site, title HAVING count(*) > 1),
+f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY site, {CANONICAL} ORDER BY page_id) = 1),
+d AS (SELECT site, title FROM f WHERE title <> '' GROUP BY site, title HAVING count(*) > 1),
 o AS (SELECT 'coverage.no-structured-data' AS check_id, site, page_id FROM p
   UNION ALL SELECT 'coverage.missing-expected-entity', site, NULL FROM p
   UNION ALL SELECT 'indexing.thin-sitemap-entry', site, page_id FROM w
-  UNION ALL SELECT 'page.title-duplicate', site, page_id FROM p JOIN d USING (site, title)
+  UNION ALL SELECT 'page.title-duplicate', site, page_id FROM f JOIN d USING (site, title)
   UNION ALL SELECT 'link.orphan', site, page_id FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.target = regexp_extract(p.url, '^[^?]*') AND l.page_id <> p.page_id))
 SELECT site, check_id, count(DISTINCT page_id) AS pages_affected FROM o GROUP BY site, check_id""")
 def site_findings(spark, sf_dir):
