@@ -13,10 +13,12 @@ of 128 bits different are verified: their edit similarity, 1 - distance / longer
 length, has to be 0.8 or more. Of each connected group the first occurrence stays,
 by document id, then text hash, then line number; the others are cut out.
 
-Large keys: up to ``SMALL`` lines of one key are compared with each other. Beyond
-that each line is compared with the key's first line; those that are unlike it go
-on to finer keys, of one block more each time, until none is left. Of the candidate pairs each line's first is
-verified, then those whose ends are still unconnected.
+Large keys: in a key of more than ``SMALL`` lines only lines of like lengths meet,
+in cells of about ``CELL`` by ``CELL`` lines, so that every pair is looked at and no
+task holds a whole key. Of the candidate pairs each line's first is verified, then
+all those whose ends are still unconnected; for large keys these are found by a
+second look, which leaves out pairs within the component most of the key's lines
+are in. So the groups are those of all candidate pairs, whatever a key's size.
 
 Votes are packed into sixteen longs of eight 8-bit counters, one for each block;
 the parts of lines of more than ``PART`` words are added up in 32-bit counters.
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import ID, TEXT_HASH, broadcast_if_small, by_keys, checkpointed, connected_components, stored, with_keys
 
-SIMILARITY, RADIUS, SMALL, PAIRS_A_TASK = 0.8, 20, 64, 4000
+SIMILARITY, RADIUS, SMALL, CELL, PAIRS_A_TASK = 0.8, 20, 64, 1024, 4000
 BLOCKS, BITS, PART = 8, 16, 127
 #: In every second byte: its lowest bit, and its seven low bits.
 LOW, SEVEN = 0x0001000100010001, 0x007F007F007F007F
@@ -185,40 +187,49 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 OWN = ("lid", "size", "sim1", "sim2")
 
 
-def candidates(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``dealt(key, last, *OWN)`` to candidate pairs ``(a, b)``, and the rows of large keys that are unlike their key's first line."""
-    w = Window.partitionBy("key")
-    rows = dealt.withColumns({"k": F.count("*").over(w), "head": F.min(F.struct(*OWN)).over(w)}).where("k > 1")
+def shared_keys(distinct: DataFrame) -> DataFrame:
+    """Stored ``(key, k, *OWN)``: the lines of every key that several lines have, and their number ``k``."""
     # Most keys are met once; the few others are written, so the large table is dealt out and sorted one time only.
-    rows = stored(rows.select("key", "last", "k", *OWN, *[F.col(f"head.{c}").alias(f"h_{c}") for c in OWN]), "keys")
+    dealt = distinct.select(F.explode(block_keys()).alias("key"), *OWN)
+    return stored(dealt.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1").select("key", "k", *OWN), "keys")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Rows of small keys to candidate pairs ``(a, b)``, the smaller number first."""
     side = lambda p: rows.where(F.col("k") <= SMALL).select("key", *[F.col(c).alias(f"{p}_{c}") for c in OWN])
-    pairs = side("x").join(side("y"), "key").where((F.col("x_lid") < F.col("y_lid")) & alike("x_", "y_")).select(F.col("x_lid").alias("a"), F.col("y_lid").alias("b"))
-    large = rows.where((F.col("k") > SMALL) & (F.col("lid") != F.col("h_lid")))
-    pairs = pairs.unionByName(large.where(alike("", "h_")).select(F.col("h_lid").alias("a"), F.col("lid").alias("b")))
-    return stored(pairs.distinct(), "pairs"), large.where(~alike("", "h_")).select("key", "last", *OWN)
+    return side("x").join(side("y"), "key").where((F.col("x_lid") < F.col("y_lid")) & alike("x_", "y_")).select(F.col("x_lid").alias("a"), F.col("y_lid").alias("b"))
+
 
+def meetings(some: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every candidate pair of a line of ``some(key, k, *OWN, ...)`` and one of ``rows``, of the same columns, that share a large key: ``x_`` and ``y_`` columns.
 
-def finer(rest: DataFrame) -> DataFrame:
-    """Rows of ``dealt`` with one more block in the key, each set of blocks once."""
-    more = F.array(*[F.struct(F.lit(b).alias("last"), F.xxhash64(F.col("key"), F.lit(b), block(b)).alias("key")) for b in range(BLOCKS)])
-    each = rest.withColumnRenamed("last", "before").select(*OWN, "before", F.explode(more).alias("m"))
-    return each.where("m.last > before").select("m.key", "m.last", *OWN)
+    Alike lines are in the same or adjacent of steps of length, each a little more
+    than the ratio allowed. A key's lines are dealt to parts, and a cell is a step,
+    a part of the one side and a part of the other.
+    """
+    step = F.floor(F.log(F.col("size").cast("double")) / math.log(1.001 / SIMILARITY))
+    parts = F.ceil(F.col("k") / CELL).cast("long")
+    own, every = F.pmod(F.xxhash64("lid"), parts), F.sequence(F.lit(0).cast("long"), parts - 1)
+    name = lambda p, cols: [F.col(c).alias(f"{p}_{c}") for c in cols if c not in ("key", "k")]
+    x = some.select("*", own.alias("i"), F.explode(every).alias("j"), step.alias("at")).select("*", F.explode(F.array(*[F.col("at") + d for d in (-1, 0, 1)])).alias("step"))
+    y = rows.select("*", own.alias("j"), F.explode(every).alias("i"), step.alias("step"))
+    cell = ["key", "step", "i", "j"]
+    both = x.select(*cell, *name("x", some.columns)).join(y.select(*cell, *name("y", rows.columns)), cell)
+    return both.where((F.col("x_lid") != F.col("y_lid")) & alike("x_", "y_"))
 
 
 def line_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """``(node, component)`` of the lines, by number, that are linked to others."""
-    wanted, rest = candidates(distinct.select(F.explode(block_keys()).alias("key"), F.lit(-1).alias("last"), *OWN))
-    while not rest.isEmpty():
-        pairs, rest = candidates(finer(rest))
-        wanted = wanted.unionByName(pairs)
-    wanted = checkpointed(wanted.distinct())
-    n = wanted.count()
-    if not n:
+    rows = shared_keys(distinct)
+    pairs = stored(candidates(rows).distinct(), "pairs")
+    large = rows.where(F.col("k") > SMALL)
+    each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(meetings(large, large).select(F.col("x_lid").alias("a"), F.col("y_lid").alias("b")))
+    partner = checkpointed(each.groupBy("a").agg(F.min("b").alias("b")))
+    wanted = checkpointed(partner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if wanted.isEmpty():
         return connected_components(wanted)
-    # Verifying costs much more than its bytes tell, so the pairs are spread by their number.
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // PAIRS_A_TASK)
-    lids = checkpointed(wanted.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
     # Texts are read again for the lines in question only: first their documents, then the lines by hash.
+    lids = partner.select(F.col("a").alias("lid"))
     where = checkpointed(distinct.join(broadcast_if_small(lids, 16, SIDE_BYTES), "lid", "left_semi").select("lid", "h1", "h2", ID))
     ids = checkpointed(where.select(F.col(ID).alias("id")).distinct())
     near = docs.join(broadcast_if_small(ids, 16), F.col(ID).eqNullSafe(F.col("id")), "left_semi")
@@ -226,20 +237,30 @@ def line_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     texts = stored(texts, "line-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        # Verifying costs much more than its bytes tell, so the pairs are spread by their number.
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS_A_TASK)
         both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("x")), "a").repartition(parts, "b")
         both = both.join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("y")).repartition(parts, "b"), "b")
         return checkpointed(similar(both).select("a", "b"))
 
-    good = verified(wanted.groupBy("b").agg(F.min("a").alias("a")))
+    good = verified(wanted)
     groups = connected_components(good)
     name = groups.select("node", "component")
     of = lambda c: name.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
-    apart = wanted.join(wanted.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = checkpointed(apart.where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b"))
-    more = verified(apart)
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
+    more = verified(checkpointed(apart.unionByName(_apart(large, of("lid"))).join(wanted, ["a", "b"], "left_anti").distinct()))
     return groups if more.isEmpty() else connected_components(good.unionByName(more))
 
 
+def _apart(large: DataFrame, of: DataFrame) -> DataFrame:
+    """The candidate pairs ``(a, b)`` of large keys whose ends are in different components, by ``of(lid, lidc)``; lines that it has not are their own."""
+    named = stored(large.join(of, "lid", "left").select("key", "k", *OWN, F.coalesce("lidc", "lid").alias("c")), "named")
+    most = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", "n").alias("most"))
+    others = named.join(most, "key").where("c <> most").select(*named.columns)
+    found = meetings(others, named).where("x_c <> y_c")
+    return found.select(F.least("x_lid", "y_lid").alias("a"), F.greatest("x_lid", "y_lid").alias("b"))
+
+
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """``(ID, TEXT_HASH, lines)``: the numbers, from 0, of the lines that each row loses."""
     keyed = with_keys(docs).select(ID, TEXT_HASH, "text")

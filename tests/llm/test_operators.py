@@ -179,6 +179,36 @@ def test_large_line_keys(spark, monkeypatch):
     assert sorted(r.k for r in lines.line_links(keyed, distinct).groupBy("component").agg(lines.F.count("*").alias("k")).collect()) == [40]
 
 
+def test_large_line_keys_lose_no_link(spark, monkeypatch):
+    """Whatever counts as a large key: the groups are those of all pairs that share a key, differ in few bits and have the edit similarity."""
+    rng = np.random.default_rng(11)
+    vocab = ["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 7))) for _ in range(200)]
+    texts = []
+    for _ in range(5):
+        line = [str(w) for w in rng.choice(vocab, 24)]
+        for _ in range(14):
+            texts.append(" ".join(line))
+            line = list(line)
+            line[rng.integers(len(line))] = str(rng.choice(vocab))
+            if rng.random() < 0.4:
+                line.insert(rng.integers(len(line)), str(rng.choice(vocab)))
+    keyed = common.with_keys(docs(spark, list(enumerate(sorted(set(texts)))))).select(common.ID, common.TEXT_HASH, "text")
+    distinct = lines.distinct_lines(lines.simhashed(keyed))
+    rows = distinct.withColumn("keys", lines.block_keys()).collect()
+    text, bits = dict(enumerate(sorted(set(texts)))), lambda a, b: sum(((a[c] ^ b[c]) % (1 << 64)).bit_count() for c in ("sim1", "sim2"))
+    pairs = []
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            x, y = text[a[common.ID]], text[b[common.ID]]
+            if set(a["keys"]) & set(b["keys"]) and bits(a, b) <= lines.RADIUS and edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
+                pairs.append((a.lid, b.lid))
+    want = sorted((r.node, r.component) for r in common.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect())
+    for small, cell in ((64, 1024), (1, 3)):
+        monkeypatch.setattr(lines, "SMALL", small)
+        monkeypatch.setattr(lines, "CELL", cell, raising=False)
+        assert sorted((r.node, r.component) for r in lines.line_links(keyed, distinct).select("node", "component").collect()) == want
+
+
 def block_bits(words):
     """The two halves of a line's fingerprint, bit by bit."""
     h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
