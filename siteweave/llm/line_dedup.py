@@ -49,6 +49,8 @@ PAIRS = [p for group in ((0, 1, 2), (3, 4, 5), (6, 7)) for p in combinations(gro
 SIDE_BYTES = 256 << 10
 #: Words that a key rests on, at least; short lines need fewer.
 KEY_WORDS = 3
+#: Words that are looked through for the next match behind a difference.
+AHEAD = 16
 #: What is cut off at both ends of a word.
 MARKS = ".,;:!?()[]{}\"'"
 
@@ -155,26 +157,75 @@ def alike(a: str, b: str) -> Column:
     return (bits[0] + bits[1] <= RADIUS) & (F.least(*sizes) >= F.greatest(*sizes) * F.lit(SIMILARITY) - F.lit(1e-9))
 
 
-def common_words(x: str, y: str) -> Column:
-    """What is left of normal line ``x`` without the words that ``y`` has not."""
-    # One struct in an array: what a lambda refers to is then computed once, not for each word.
-    words = F.split(x, " ")
-    bound = F.array(F.struct(words.alias("w"), F.array_except(words, F.split(y, " ")).alias("only")))
-    return F.transform(bound, lambda s: F.array_join(F.filter(s["w"], lambda w: ~F.array_contains(s["only"], w)), " "))[0]
+def bound(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with ``cols``, computed once a row: filters are not moved below a generator, so they are not written out again in each use."""
+    kept = [c for c in df.columns if c not in cols]
+    return df.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("cols")).select(*kept, "cols.*")
+
+
+def trimmed(pairs: DataFrame) -> DataFrame:
+    """``pairs(x, y, ...)`` of unlike lines with ``most``, the edits allowed, and in ``wx, wy`` the words between those that both begin with and those that both end with."""
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
+    pairs = pairs.where(F.abs(F.length("x") - F.length("y")) <= most)
+    pairs = bound(pairs, most=most, wx=F.split("x", " "), wy=F.split("y", " "))
+    equal = lambda a, b: F.array_position(F.zip_with(a, b, lambda v, w: v.eqNullSafe(w)), False).cast("int") - 1
+    pairs = bound(pairs, head=equal("wx", "wy"), tail=equal(F.reverse("wx"), F.reverse("wy")))
+    tail = F.least(F.col("tail"), F.least(F.size("wx"), F.size("wy")) - F.col("head"))
+    middle = lambda w: F.slice(w, F.col("head") + 1, F.size(w) - F.col("head") - tail)
+    return bound(pairs, wx=middle("wx"), wy=middle("wy")).drop("head", "tail")
+
+
+def edits_by_words(a: str, b: str) -> Column:
+    """Edits that are enough to turn words ``a`` into words ``b``; not always the fewest.
+
+    From left to right equal words are matched. Behind a difference the next match is
+    the first word that is found again, with its successor, at most ``AHEAD`` words on.
+    What lies between two matches is replaced as a whole: as many edits as its longer
+    side has characters, a space for each word included.
+    """
+    two = lambda c: F.transform(c, lambda w, i: F.concat_ws(" ", w, F.get(c, i + 1)))
+    chars = lambda words: F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w) + 1)
+    state = lambda j, k, left, cost: F.struct(j.alias("j"), k.alias("k"), left.alias("left"), cost.alias("cost"))
+    none = F.lit(0)
+
+    def aligned(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+
+        def step(t: Column, i: Column) -> Column:
+            j, k, left, cost = (t[c] for c in ("j", "k", "left", "cost"))
+
+            def found(p: Column) -> Column:
+                between = chars(F.slice(y, j + 1, p - 1))
+                return F.when(p > 0, state(j + p, none, none, cost + F.greatest(left, between))).otherwise(state(j, k + 1, left + F.length(F.get(x, i)) + 1, cost))
+
+            # In an array, so that the place is looked for once.
+            again = F.array(F.array_position(F.slice(s["yy"], j + 1, k + AHEAD), F.get(s["xx"], i)).cast("int"))
+            return F.when((k == 0) & F.get(x, i).eqNullSafe(F.get(y, j)), state(j + 1, none, none, cost)).otherwise(F.transform(again, found)[0])
+
+        last = lambda t: t["cost"] + F.greatest(t["left"], chars(F.slice(y, t["j"] + 1, F.size(y))))
+        return F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), state(none, none, none, none), step, last)
+
+    # Structs in arrays: what a lambda refers to is then computed once, not for each word.
+    words = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")))
+    words = F.transform(words, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), two(s["x"]).alias("xx"), two(s["y"]).alias("yy")))
+    return F.transform(words, aligned)[0]
 
 
 def similar(pairs: DataFrame) -> DataFrame:
-    """The rows of ``pairs(x, y, ...)`` whose edit similarity is 0.8 or more.
+    """The rows of ``pairs(x, y, ...)``, of unlike lines, whose edit similarity is 0.8 or more.
 
-    Where the common words of both stand in the same order, taking out the others
-    of the one and putting in those of the other are edits enough to count, and
-    that is much cheaper to see than the distance, which is only computed for the rest.
+    Words that both begin or end with change nothing in the distance, so it is that
+    of the rest. No distance is larger than the longer side or than the edits that
+    words matched one by one leave to do. That is much cheaper to see than the
+    distance itself, which is only computed for pairs that may be above the bound.
     """
-    pairs = pairs.withColumns({"cx": common_words("x", "y"), "cy": common_words("y", "x")})
-    most = F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
-    enough = (F.col("cx") == F.col("cy")) & (F.length("x") + F.length("y") - 2 * F.length("cx") <= most)
-    far = F.abs(F.length("x") - F.length("y")) > most
-    return pairs.where(F.when(far, F.lit(False)).when(enough, F.lit(True)).otherwise(F.call_function("levenshtein", F.col("x"), F.col("y"), most) >= 0)).drop("cx", "cy")
+    most, n = F.col("most"), F.length
+    pairs = trimmed(pairs)
+    pairs = bound(pairs, mx=F.array_join("wx", " "), my=F.array_join("wy", " "))
+    # Where one side is empty, the other line has words more and the distance is the difference in length.
+    near = (n("mx") == 0) | (n("my") == 0) | (F.greatest(n("mx"), n("my")) <= most)
+    near = F.when(near, F.lit(True)).when(edits_by_words("wx", "wy") <= most, F.lit(True))
+    return pairs.where(near.otherwise(F.call_function("levenshtein", F.col("mx"), F.col("my"), most) >= 0)).drop("most", "wx", "wy", "mx", "my")
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:

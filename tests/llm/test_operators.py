@@ -209,6 +209,33 @@ def test_large_line_keys_lose_no_link(spark, monkeypatch):
         assert sorted((r.node, r.component) for r in lines.line_links(keyed, distinct).select("node", "component").collect()) == want
 
 
+def test_similar_lines_against_edit_distance(spark):
+    """Replaced, inserted, deleted and moved words, runs of them, and single letters: what is kept is what the plain distance keeps."""
+    rng = np.random.default_rng(3)
+    vocab = ["".join(rng.choice(list("aeio"), rng.integers(1, 8))) for _ in range(40)]
+    pairs = [("a", "b"), ("abcd e", "abcd"), ("abcdefgh i", "abcdefgh j"), ("a b c d e", "a b c d"), ("aaaaa bb", "aaaaa bb bb")]
+    for _ in range(400):
+        a = [str(w) for w in rng.choice(vocab, rng.integers(1, 30))]
+        b = list(a)
+        for _ in range(rng.integers(1, 7)):
+            k, kind = int(rng.integers(len(b) + 1)), rng.integers(5)
+            if kind == 0:
+                b[k : k + 1] = [str(rng.choice(vocab))]
+            elif kind == 1:
+                b[k:k] = [str(w) for w in rng.choice(vocab, rng.integers(1, 4))]
+            elif kind == 2:
+                b[k : k + int(rng.integers(1, 4))] = []
+            elif kind == 3:
+                b = [*b[k:], *b[:k]]
+            else:
+                b[k : k + 1] = [w[1:] + "x" for w in b[k : k + 1]]
+        pairs.append((" ".join(a), " ".join(w for w in b if w)))
+    pairs = sorted({(x, y) for x, y in pairs if x != y})
+    want = [(x, y) for x, y in pairs if edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9]
+    got = lines.similar(spark.createDataFrame(pairs, "x string, y string"))
+    assert sorted((r.x, r.y) for r in got.select("x", "y").collect()) == want and 50 < len(want) < len(pairs) - 50
+
+
 def block_bits(words):
     """The two halves of a line's fingerprint, bit by bit."""
     h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
