@@ -15,10 +15,11 @@ by document id, then text hash, then line number; the others are cut out.
 
 Large keys: in a key of more than ``SMALL`` lines only lines of like lengths meet,
 in cells of about ``CELL`` by ``CELL`` lines, so that every pair is looked at and no
-task holds a whole key. Of the candidate pairs each line's first is verified, then
-all those whose ends are still unconnected; for large keys these are found by a
-second look, which leaves out pairs within the component most of the key's lines
-are in. So the groups are those of all candidate pairs, whatever a key's size.
+task holds a whole key. Of the candidate pairs of small keys each line's first is
+verified, and in large keys each line with the first of its key and length; then
+all those whose ends are still unconnected. For large keys these are only then
+looked for, without pairs within the component most of the key's lines are in.
+So the groups are those of all candidate pairs, whatever a key's size.
 
 Votes are packed into sixteen longs of eight 8-bit counters, one for each block;
 the parts of lines of more than ``PART`` words are added up in 32-bit counters.
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import ID, TEXT_HASH, broadcast_if_small, by_keys, checkpointed, connected_components, stored, with_keys
 
-SIMILARITY, RADIUS, SMALL, CELL, PAIRS_A_TASK = 0.8, 20, 64, 1024, 4000
+SIMILARITY, RADIUS, SMALL, CELL, PAIRS_A_TASK = 0.8, 20, 64, 8192, 4000
 BLOCKS, BITS, PART = 8, 16, 127
 #: In every second byte: its lowest bit, and its seven low bits.
 LOW, SEVEN = 0x0001000100010001, 0x007F007F007F007F
@@ -51,6 +52,8 @@ SIDE_BYTES = 256 << 10
 KEY_WORDS = 3
 #: Words that are looked through for the next match behind a difference.
 AHEAD = 16
+#: Lines of up to so many characters are compared at once: matching their words would take longer.
+SHORT = 128
 #: What is cut off at both ends of a word.
 MARKS = ".,;:!?()[]{}\"'"
 
@@ -164,10 +167,11 @@ def bound(df: DataFrame, **cols: Column) -> DataFrame:
 
 
 def trimmed(pairs: DataFrame) -> DataFrame:
-    """``pairs(x, y, ...)`` of unlike lines with ``most``, the edits allowed, and in ``wx, wy`` the words between those that both begin with and those that both end with."""
+    """``pairs(x, y, ...)`` of unlike lines with ``most``, the edits allowed, and in ``wx, wy`` the words between those that both begin with and those that both end with; null for short lines."""
     most = F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
     pairs = pairs.where(F.abs(F.length("x") - F.length("y")) <= most)
-    pairs = bound(pairs, most=most, wx=F.split("x", " "), wy=F.split("y", " "))
+    words = lambda c: F.when(F.greatest(F.length("x"), F.length("y")) > SHORT, F.split(c, " "))
+    pairs = bound(pairs, most=most, wx=words("x"), wy=words("y"))
     equal = lambda a, b: F.array_position(F.zip_with(a, b, lambda v, w: v.eqNullSafe(w)), False).cast("int") - 1
     pairs = bound(pairs, head=equal("wx", "wy"), tail=equal(F.reverse("wx"), F.reverse("wy")))
     tail = F.least(F.col("tail"), F.least(F.size("wx"), F.size("wy")) - F.col("head"))
@@ -224,8 +228,9 @@ def similar(pairs: DataFrame) -> DataFrame:
     pairs = bound(pairs, mx=F.array_join("wx", " "), my=F.array_join("wy", " "))
     # Where one side is empty, the other line has words more and the distance is the difference in length.
     near = (n("mx") == 0) | (n("my") == 0) | (F.greatest(n("mx"), n("my")) <= most)
-    near = F.when(near, F.lit(True)).when(edits_by_words("wx", "wy") <= most, F.lit(True))
-    return pairs.where(near.otherwise(F.call_function("levenshtein", F.col("mx"), F.col("my"), most) >= 0)).drop("most", "wx", "wy", "mx", "my")
+    within = lambda a, b: F.call_function("levenshtein", F.col(a), F.col(b), most) >= 0
+    kept = F.when(F.col("wx").isNull(), within("x", "y")).when(near, F.lit(True)).when(edits_by_words("wx", "wy") <= most, F.lit(True))
+    return pairs.where(kept.otherwise(within("mx", "my"))).drop("most", "wx", "wy", "mx", "my")
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -251,19 +256,29 @@ def candidates(rows: DataFrame) -> DataFrame:
     return side("x").join(side("y"), "key").where((F.col("x_lid") < F.col("y_lid")) & alike("x_", "y_")).select(F.col("x_lid").alias("a"), F.col("y_lid").alias("b"))
 
 
+def _step() -> Column:
+    """The step of length that a line is in; alike lines are in the same or adjacent ones, as each is a little more than the ratio allowed."""
+    return F.floor(F.log(F.col("size").cast("double")) / math.log(1.001 / SIMILARITY))
+
+
+def firsts(large: DataFrame) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of the first line of each large key and step of length with the others there."""
+    rows = large.select("key", _step().alias("step"), *OWN)
+    first = rows.groupBy("key", "step").agg(F.min(F.struct(*OWN)).alias("h")).select("key", "step", *[F.col(f"h.{c}").alias(f"h_{c}") for c in OWN])
+    return rows.join(first, ["key", "step"]).where((F.col("lid") != F.col("h_lid")) & alike("", "h_")).select(F.col("h_lid").alias("a"), F.col("lid").alias("b"))
+
+
 def meetings(some: DataFrame, rows: DataFrame) -> DataFrame:
     """Every candidate pair of a line of ``some(key, k, *OWN, ...)`` and one of ``rows``, of the same columns, that share a large key: ``x_`` and ``y_`` columns.
 
-    Alike lines are in the same or adjacent of steps of length, each a little more
-    than the ratio allowed. A key's lines are dealt to parts, and a cell is a step,
-    a part of the one side and a part of the other.
+    A key's lines are dealt to parts, and a cell is a step of length, a part of the
+    one side and a part of the other.
     """
-    step = F.floor(F.log(F.col("size").cast("double")) / math.log(1.001 / SIMILARITY))
     parts = F.ceil(F.col("k") / CELL).cast("long")
     own, every = F.pmod(F.xxhash64("lid"), parts), F.sequence(F.lit(0).cast("long"), parts - 1)
     name = lambda p, cols: [F.col(c).alias(f"{p}_{c}") for c in cols if c not in ("key", "k")]
-    x = some.select("*", own.alias("i"), F.explode(every).alias("j"), step.alias("at")).select("*", F.explode(F.array(*[F.col("at") + d for d in (-1, 0, 1)])).alias("step"))
-    y = rows.select("*", own.alias("j"), F.explode(every).alias("i"), step.alias("step"))
+    x = some.select("*", own.alias("i"), F.explode(every).alias("j"), _step().alias("at")).select("*", F.explode(F.array(*[F.col("at") + d for d in (-1, 0, 1)])).alias("step"))
+    y = rows.select("*", own.alias("j"), F.explode(every).alias("i"), _step().alias("step"))
     cell = ["key", "step", "i", "j"]
     both = x.select(*cell, *name("x", some.columns)).join(y.select(*cell, *name("y", rows.columns)), cell)
     return both.where((F.col("x_lid") != F.col("y_lid")) & alike("x_", "y_"))
@@ -274,13 +289,12 @@ def line_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     rows = shared_keys(distinct)
     pairs = stored(candidates(rows).distinct(), "pairs")
     large = rows.where(F.col("k") > SMALL)
-    each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(meetings(large, large).select(F.col("x_lid").alias("a"), F.col("y_lid").alias("b")))
-    partner = checkpointed(each.groupBy("a").agg(F.min("b").alias("b")))
-    wanted = checkpointed(partner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if wanted.isEmpty():
+    each = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(firsts(large))
+    wanted = checkpointed(each.distinct())
+    lids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("lid")).unionByName(large.select("lid")).distinct())
+    if lids.isEmpty():
         return connected_components(wanted)
     # Texts are read again for the lines in question only: first their documents, then the lines by hash.
-    lids = partner.select(F.col("a").alias("lid"))
     where = checkpointed(distinct.join(broadcast_if_small(lids, 16, SIDE_BYTES), "lid", "left_semi").select("lid", "h1", "h2", ID))
     ids = checkpointed(where.select(F.col(ID).alias("id")).distinct())
     near = docs.join(broadcast_if_small(ids, 16), F.col(ID).eqNullSafe(F.col("id")), "left_semi")
