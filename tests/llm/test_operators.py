@@ -209,6 +209,25 @@ def test_large_line_keys_lose_no_link(spark, monkeypatch):
         assert sorted((r.node, r.component) for r in lines.line_links(keyed, distinct).select("node", "component").collect()) == want
 
 
+def test_pipeline_lines_whatever_is_a_large_key(spark, monkeypatch):
+    """The pipeline's line dedup cuts the same lines whether all keys are small or all are large."""
+    rng = np.random.default_rng(11)
+    vocab, texts = ["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 7))) for _ in range(200)], []
+    for _ in range(5):
+        line = [str(w) for w in rng.choice(vocab, 24)]
+        for _ in range(14):
+            texts.append(" ".join(line))
+            line = list(line)
+            line[rng.integers(len(line))] = str(rng.choice(vocab))
+            if rng.random() < 0.4:
+                line.insert(rng.integers(len(line)), str(rng.choice(vocab)))
+    d, got = docs(spark, list(enumerate(sorted(set(texts))))), []
+    for small in (10**6, 1):
+        monkeypatch.setattr(lines, "SMALL", small)
+        got.append(sorted((r.doc_id, r.text) for r in corpus_pipeline.lines(spark, d, "").collect()))
+    assert got[0] == got[1]
+
+
 def test_similar_lines_against_edit_distance(spark, monkeypatch):
     """Replaced, inserted, deleted and moved words, runs of them, and single letters: what is kept is what the plain distance keeps."""
     rng = np.random.default_rng(3)
