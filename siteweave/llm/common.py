@@ -110,7 +110,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     joins on contracted ends can be split by the adaptive skew join. Each round
     ends in written tables (a checkpoint would keep the planner's size estimates,
     which multiply in every join until they alone take minutes); what has become
-    small is held in few partitions. Null ends and self-loops are ignored; nodes
+    small is held in few partitions. Its joins are merged: sides in one partition
+    need no exchange then, while broadcasts, two or more a round, would each be built
+    and held in the driver. Null ends and self-loops are ignored; nodes
     without an edge are not returned.
     """
     edges = stored(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -124,7 +126,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Every edge has at most two nodes, which bounds the hooks.
         hook = gathered(hook, 2 * n)
         steps.append(hook)
-        left = edges.join(hook.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a").join(hook.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
+        left = edges.join(hook.select(F.col("node").alias("a"), F.col("parent").alias("pa")).hint("merge"), "a").join(hook.select(F.col("node").alias("b"), F.col("parent").alias("pb")).hint("merge"), "b")
         edges = stored(left.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         round_no += 1
     if not steps:
@@ -132,10 +134,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     # A node may hook to one that itself hooks on in the same round; the edge between the two lives on, so later rounds join them.
     roots = steps[0].select("node", F.col("parent").alias("root"))
     for hook in steps[1:]:
-        roots = roots.join(hook.select(F.col("node").alias("root"), "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
+        roots = roots.join(hook.select(F.col("node").alias("root"), "parent").hint("merge"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
     roots = checkpointed(roots)
     roots = gathered(roots, roots.count())
-    return stored(roots.join(roots.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component"), "components")
+    return stored(roots.join(roots.groupBy("root").agg(F.min("node").alias("component")).hint("merge"), "root").select("node", "component"), "components")
 
 
 #: Rows of ``documents`` are addressed by these two columns: the id, and a hash of the text that tells apart different rows with one id.

@@ -228,6 +228,18 @@ def test_pipeline_lines_whatever_is_a_large_key(spark, monkeypatch):
     assert got[0] == got[1]
 
 
+def test_components_need_no_broadcast(spark):
+    """Many rounds over small tables: none of their joins is built and held in the driver."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = common.connected_components(edges).collect()
+    assert sorted((r.node, r.component) for r in got) == [(i, 0) for i in range(301)]
+    found = store.executionsList(int(before), 10_000)
+    plans = [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+    assert len(plans) > 5 and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_similar_lines_against_edit_distance(spark, monkeypatch):
     """Replaced, inserted, deleted and moved words, runs of them, and single letters: what is kept is what the plain distance keeps."""
     rng = np.random.default_rng(3)
