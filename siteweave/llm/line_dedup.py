@@ -18,7 +18,8 @@ in cells of about ``CELL`` by ``CELL`` lines, so that every pair is looked at an
 task holds a whole key. Of the candidate pairs of small keys each line's first is
 verified, and in large keys each line with the first of its key and length; then
 all those whose ends are still unconnected. For large keys these are only then
-looked for, without pairs within the component most of the key's lines are in.
+looked for, without pairs within the component most of the key's lines are in and
+without short lines whose letters alone need more edits than are allowed.
 So the groups are those of all candidate pairs, whatever a key's size.
 
 Votes are packed into sixteen longs of eight 8-bit counters, one for each block;
@@ -54,6 +55,8 @@ KEY_WORDS = 3
 AHEAD = 16
 #: Lines of up to so many characters are compared at once: matching their words would take longer.
 SHORT = 128
+#: Characters that are counted in short lines, up to ``COUNTED`` times each, in two longs.
+LETTERS, COUNTED = ("etaonirshdlucmpg", "fbvwky0123456789"), 4
 #: What is cut off at both ends of a word.
 MARKS = ".,;:!?()[]{}\"'"
 
@@ -160,6 +163,25 @@ def alike(a: str, b: str) -> Column:
     return (bits[0] + bits[1] <= RADIUS) & (F.least(*sizes) >= F.greatest(*sizes) * F.lit(SIMILARITY) - F.lit(1e-9))
 
 
+def letter_counts(norm: Column) -> list[Column]:
+    """``g0, g1``: of every character of ``LETTERS`` as many low bits in its four as the line has it, up to ``COUNTED``; null for lines that are not short."""
+    found = []
+    for j, letters in enumerate(LETTERS):
+        bits = F.lit(0).cast("long")
+        for i, c in enumerate(letters):
+            n = F.least(F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit(""))), F.lit(COUNTED))
+            bits = bits.bitwiseOR(F.shiftleft(F.call_function("shiftleft", F.lit(1).cast("long"), n) - F.lit(1), COUNTED * i))
+        found.append(F.when(F.length(norm) <= SHORT, bits).alias(f"g{j}"))
+    return found
+
+
+def letters_alike(a: str, b: str) -> Column:
+    """Letters do not rule out that lines ``a`` and ``b`` (prefixes of ``size``, ``g0`` and ``g1``) are similar: an edit takes away one at most and adds one at most."""
+    more = lambda x, y: sum((F.bit_count(F.col(f"{x}g{j}").bitwiseAND(F.bitwise_not(F.col(f"{y}g{j}")))) for j in range(len(LETTERS))), F.lit(0))
+    most = F.floor(F.greatest(f"{a}size", f"{b}size") * F.lit(1 - SIMILARITY) + F.lit(1e-9))
+    return F.coalesce((more(a, b) <= most) & (more(b, a) <= most), F.lit(True))
+
+
 def bound(df: DataFrame, **cols: Column) -> DataFrame:
     """``df`` with ``cols``, computed once a row: filters are not moved below a generator, so they are not written out again in each use."""
     kept = [c for c in df.columns if c not in cols]
@@ -299,7 +321,7 @@ def line_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     ids = checkpointed(where.select(F.col(ID).alias("id")).distinct())
     near = docs.join(broadcast_if_small(ids, 16), F.col(ID).eqNullSafe(F.col("id")), "left_semi")
     texts = lines_of(near).select(*line_hash(F.col("norm")), "norm").join(broadcast_if_small(where.select("lid", "h1", "h2"), 32, SIDE_BYTES), ["h1", "h2"]).select("lid", "norm").dropDuplicates(["lid"])
-    texts = stored(texts, "line-texts")
+    texts = stored(texts.select("lid", "norm", *letter_counts(F.col("norm"))), "line-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         # Verifying costs much more than its bytes tell, so the pairs are spread by their number.
@@ -313,16 +335,17 @@ def line_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     name = groups.select("node", "component")
     of = lambda c: name.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
-    more = verified(checkpointed(apart.unionByName(_apart(large, of("lid"))).join(wanted, ["a", "b"], "left_anti").distinct()))
+    more = verified(checkpointed(apart.unionByName(_apart(large, of("lid"), texts.drop("norm"))).join(wanted, ["a", "b"], "left_anti").distinct()))
     return groups if more.isEmpty() else connected_components(good.unionByName(more))
 
 
-def _apart(large: DataFrame, of: DataFrame) -> DataFrame:
-    """The candidate pairs ``(a, b)`` of large keys whose ends are in different components, by ``of(lid, lidc)``; lines that it has not are their own."""
-    named = stored(large.join(of, "lid", "left").select("key", "k", *OWN, F.coalesce("lidc", "lid").alias("c")), "named")
+def _apart(large: DataFrame, of: DataFrame, letters: DataFrame) -> DataFrame:
+    """The candidate pairs ``(a, b)`` of large keys whose ends are in different components, by ``of(lid, lidc)``; lines that it has not are their own. Pairs that ``letters(lid, g0, g1)`` rule out are left out."""
+    named = large.join(of, "lid", "left").join(letters, "lid", "left")
+    named = stored(named.select("key", "k", *OWN, "g0", "g1", F.coalesce("lidc", "lid").alias("c")), "named")
     most = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", "n").alias("most"))
     others = named.join(most, "key").where("c <> most").select(*named.columns)
-    found = meetings(others, named).where("x_c <> y_c")
+    found = meetings(others, named).where("x_c <> y_c").where(letters_alike("x_", "y_"))
     return found.select(F.least("x_lid", "y_lid").alias("a"), F.greatest("x_lid", "y_lid").alias("b"))
 
 

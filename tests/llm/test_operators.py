@@ -240,6 +240,41 @@ def test_components_need_no_broadcast(spark):
     assert len(plans) > 5 and not any("BroadcastExchange" in p for p in plans)
 
 
+def test_table_rows_of_one_large_key(spark, monkeypatch):
+    """Rows of a table share their bars and so a large key: few pairs are compared, and the groups are those of all pairs within the key."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("aeioulnrstdmcp"), rng.integers(4, 9)))
+    texts = []
+    for _ in range(90):
+        row = [word() for _ in range(5)]
+        texts += [" | ".join(row), " | ".join([*row[:2], row[2] + "x", *row[3:]])]
+    texts = sorted(set(texts))
+    keyed = common.with_keys(docs(spark, list(enumerate(texts)))).select(common.ID, common.TEXT_HASH, "text")
+    distinct = lines.distinct_lines(lines.simhashed(keyed))
+    text, compared, plain = dict(enumerate(texts)), [], lines.similar
+    name = {r.lid: text[r[common.ID]] for r in distinct.collect()}
+
+    def similar(pairs):
+        compared.append(pairs.count())
+        return plain(pairs)
+
+    def groups():
+        compared.clear()
+        return sorted((r.node, r.component) for r in lines.line_links(keyed, distinct).select("node", "component").collect())
+
+    monkeypatch.setattr(lines, "similar", similar)
+    monkeypatch.setattr(lines, "SMALL", 10**6)
+    whole, pairs = groups(), sum(compared)
+    monkeypatch.setattr(lines, "SMALL", 3)
+    assert groups() == whole and len({c for _, c in whole}) > 60 and pairs > 300
+    assert sum(compared) < pairs / 2
+    some = spark.createDataFrame([(a, b) for a in list(name.values())[:40] for b in name.values()] + [("abc", "cba"), ("", "a"), ("1" * 9, "1" * 8 + "2")], "x string, y string")
+    side = lambda c: [F.length(c).alias(f"{c}_size"), *[g.alias(f"{c}_g{j}") for j, g in enumerate(lines.letter_counts(F.col(c)))]]
+    F = lines.F
+    ruled_out = some.select("x", "y", *side("x"), *side("y")).where(~lines.letters_alike("x_", "y_")).collect()
+    assert len(ruled_out) > 1000 and all(edits(r.x, r.y) > 0.2 * max(len(r.x), len(r.y)) + 1e-9 for r in ruled_out)
+
+
 def test_similar_lines_against_edit_distance(spark, monkeypatch):
     """Replaced, inserted, deleted and moved words, runs of them, and single letters: what is kept is what the plain distance keeps."""
     rng = np.random.default_rng(3)
