@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpointed, prepare, shared_dir
 
-__all__ = ["ID", "TEXT_HASH", "ascii_lower", "broadcast_if_small", "by_keys", "checkpointed", "connected_components", "delete", "fresh_path", "gathered", "map_arrow", "scratch", "shared_dir", "stored", "with_keys"]
+__all__ = ["ID", "TEXT_HASH", "ascii_lower", "broadcast_if_small", "by_keys", "checkpointed", "connected_components", "delete", "fresh_path", "gathered", "map_arrow", "scratch", "shared_dir", "sifted", "stored", "with_keys"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -90,6 +90,27 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if size <= limit else df
 
 
+#: A bitmap has 8 to 16 bits for each key, up to two to this power (32 MB); its rows have so many longs.
+MOST_BITS, LONGS = 28, 1024
+
+
+def sifted(df: DataFrame, key: str, among: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in that column of ``among`` (already stored), and few others: by a bitmap of hashes that is broadcast.
+
+    The join that follows looks exactly; it only has less to shuffle. Beyond
+    ``MOST_BITS`` more of the others pass, and nothing else changes.
+    """
+    bits = 1 << min(max((8 * among.count()).bit_length(), 16), MOST_BITS)
+    at = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+    on = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    found = among.select(F.shiftright(at(key), 6).alias("long"), on(at(key)).alias("on"))
+    every = found.unionByName(df.sparkSession.range(bits // 64).select(F.col("id").alias("long"), F.lit(0).cast("long").alias("on")))
+    longs = every.groupBy("long").agg(F.bit_or("on").alias("on")).groupBy((F.col("long") / LONGS).cast("long").alias("__sw_row"))
+    table = F.broadcast(checkpointed(longs.agg(F.array_sort(F.collect_list(F.struct("long", "on")))["on"].alias("__sw_longs"))))
+    has = table["__sw_longs"][F.shiftright(at(df[key]), 6).bitwiseAND(F.lit(LONGS - 1)).cast("int")].bitwiseAND(on(at(df[key]))) != 0
+    return df.join(table, (F.shiftright(at(df[key]), 6 + LONGS.bit_length() - 1) == table["__sw_row"]) & has).select(*[df[c] for c in df.columns])
+
+
 def gathered(df: DataFrame, rows: int) -> DataFrame:
     """``df``, whose rows were counted, in partitions of ``PART_ROWS``; what follows on a single one needs no shuffle."""
     return df.coalesce(max(1, -(-rows // PART_ROWS)))

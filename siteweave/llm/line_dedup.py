@@ -21,6 +21,8 @@ all those whose ends are still unconnected. For large keys these are only then
 looked for, without pairs within the component most of the key's lines are in and
 without short lines whose letters alone need more edits than are allowed.
 So the groups are those of all candidate pairs, whatever a key's size.
+Texts are only shuffled for lines in question and, to be verified, for lines in a
+pair: a bitmap of hashes leaves out nearly all others before the exact join.
 
 Votes are packed into sixteen longs of eight 8-bit counters, one for each block;
 the parts of lines of more than ``PART`` words are added up in 32-bit counters.
@@ -38,7 +40,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ID, TEXT_HASH, broadcast_if_small, by_keys, checkpointed, connected_components, stored, with_keys
+from .common import ID, TEXT_HASH, broadcast_if_small, by_keys, checkpointed, connected_components, sifted, stored, with_keys
 
 SIMILARITY, RADIUS, SMALL, CELL, PAIRS_A_TASK = 0.8, 20, 64, 8192, 4000
 BLOCKS, BITS, PART = 8, 16, 127
@@ -73,7 +75,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """Every line that counts: ``ID, TEXT_HASH, line, norm``."""
     each = docs.where("text IS NOT NULL").select(ID, TEXT_HASH, F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     # Filtered by the raw line: a filter on the normal form would compute that twice.
-    return each.where(F.col("raw").rlike(r"\S")).select(ID, TEXT_HASH, "line", normalised(F.col("raw")).alias("norm"))
+    return each.where(F.ltrim("raw", F.lit(" \t\r\f\x0b")) != "").select(ID, TEXT_HASH, "line", normalised(F.col("raw")).alias("norm"))
 
 
 def line_hash(norm: Column) -> tuple[Column, Column]:
@@ -127,7 +129,8 @@ def _long_lines(several: DataFrame, kept: list[str]) -> DataFrame:
     """Fingerprints of lines of several parts, from their votes: 32-bit counters, of blocks i and i + 4 in one long."""
     lanes = lambda c, i: F.sum(F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(BYTE4)))
     sums = [lanes(F.col("votes")[k], i).alias(f"v{k}_{i}") for k in range(BITS) for i in range(4)] + [lanes(F.col("n"), i).alias(f"n_{i}") for i in range(4)]
-    each = several.groupBy("lid").agg(*[F.max(c).alias(c) for c in kept], *sums)
+    # Dealt out as they are: summed up before that, a part would have four times as many counters.
+    each = several.repartition("lid").groupBy("lid").agg(*[F.max(c).alias(c) for c in kept], *sums)
     half = [F.shiftrightunsigned(f"n_{i}", 1).bitwiseAND(F.lit(MANY4)) for i in range(4)]
     over = lambda k, i: F.shiftleft(F.shiftrightunsigned(F.col(f"v{k}_{i}") + F.lit(MANY4) - half[i], 30).bitwiseAND(F.lit(LOW4)), 8 * i)
     on = [over(k, 0).bitwiseOR(over(k, 1)).bitwiseOR(over(k, 2)).bitwiseOR(over(k, 3)) for k in range(BITS)]
@@ -145,15 +148,25 @@ def block(b: int) -> Column:
     return part("sim1").bitwiseOR(F.shiftleft(part("sim2"), 8))
 
 
+def _words(b: int) -> Column:
+    """The words of block ``b``."""
+    return F.shiftrightunsigned("n", 8 * b).bitwiseAND(F.lit(0xFF))
+
+
+def least_words() -> Column:
+    """The words that a key of the line has to rest on."""
+    return F.least(F.lit(KEY_WORDS), F.greatest(F.lit(1), F.floor(sum((_words(b) for b in range(1, BLOCKS)), _words(0)) / 3)))
+
+
+def _all_keys(least: Column) -> Column:
+    """Pairs of blocks, each with its number; null for those that rest on too few words."""
+    keys = [F.when(_words(a) + _words(b) >= least, F.shiftleft(block(a), 16).bitwiseOR(block(b)).bitwiseOR(F.lit(i << 32))) for i, (a, b) in enumerate(PAIRS)]
+    return F.array(*keys)
+
+
 def block_keys() -> Column:
     """The keys of a line: pairs of blocks, each with its number, that rest on enough words."""
-    n = [F.shiftrightunsigned("n", 8 * b).bitwiseAND(F.lit(0xFF)) for b in range(BLOCKS)]
-    words = n[0]
-    for x in n[1:]:
-        words = words + x
-    least = F.least(F.lit(KEY_WORDS), F.greatest(F.lit(1), F.floor(words / 3)))
-    keys = [F.when(n[a] + n[b] >= least, F.shiftleft(block(a), 16).bitwiseOR(block(b)).bitwiseOR(F.lit(i << 32))) for i, (a, b) in enumerate(PAIRS)]
-    return F.array_compact(F.array(*keys))
+    return F.array_compact(_all_keys(least_words()))
 
 
 def alike(a: str, b: str) -> Column:
@@ -249,9 +262,10 @@ def similar(pairs: DataFrame) -> DataFrame:
     pairs = trimmed(pairs)
     pairs = bound(pairs, mx=F.array_join("wx", " "), my=F.array_join("wy", " "))
     # Where one side is empty, the other line has words more and the distance is the difference in length.
-    near = (n("mx") == 0) | (n("my") == 0) | (F.greatest(n("mx"), n("my")) <= most)
+    longer = F.greatest(n("mx"), n("my"))
+    near = (n("mx") == 0) | (n("my") == 0) | (longer <= most)
     within = lambda a, b: F.call_function("levenshtein", F.col(a), F.col(b), most) >= 0
-    kept = F.when(F.col("wx").isNull(), within("x", "y")).when(near, F.lit(True)).when(edits_by_words("wx", "wy") <= most, F.lit(True))
+    kept = F.when(F.col("wx").isNull(), within("x", "y")).when(near, F.lit(True)).when(longer <= SHORT, within("mx", "my")).when(edits_by_words("wx", "wy") <= most, F.lit(True))
     return pairs.where(kept.otherwise(within("mx", "my"))).drop("most", "wx", "wy", "mx", "my")
 
 
@@ -268,7 +282,8 @@ OWN = ("lid", "size", "sim1", "sim2")
 def shared_keys(distinct: DataFrame) -> DataFrame:
     """Stored ``(key, k, *OWN)``: the lines of every key that several lines have, and their number ``k``."""
     # Most keys are met once; the few others are written, so the large table is dealt out and sorted one time only.
-    dealt = distinct.select(F.explode(block_keys()).alias("key"), *OWN)
+    # ``least`` is a column of its own: written out in each key it makes a method that is too long to be compiled.
+    dealt = distinct.select("n", *OWN, least_words().alias("least")).select(F.explode(_all_keys(F.col("least"))).alias("key"), *OWN).where("key IS NOT NULL")
     return stored(dealt.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1").select("key", "k", *OWN), "keys")
 
 
@@ -318,16 +333,18 @@ def line_links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         return connected_components(wanted)
     # Texts are read again for the lines in question only: first their documents, then the lines by hash.
     where = checkpointed(distinct.join(broadcast_if_small(lids, 16, SIDE_BYTES), "lid", "left_semi").select("lid", "h1", "h2", ID))
-    ids = checkpointed(where.select(F.col(ID).alias("id")).distinct())
-    near = docs.join(broadcast_if_small(ids, 16), F.col(ID).eqNullSafe(F.col("id")), "left_semi")
-    texts = lines_of(near).select(*line_hash(F.col("norm")), "norm").join(broadcast_if_small(where.select("lid", "h1", "h2"), 32, SIDE_BYTES), ["h1", "h2"]).select("lid", "norm").dropDuplicates(["lid"])
+    ids = checkpointed(where.select(ID).distinct())
+    near = sifted(docs, ID, ids)
+    texts = sifted(lines_of(near).select(*line_hash(F.col("norm")), "norm"), "h1", where)
+    # By the columns that the rows are dealt and sorted by already.
+    texts = texts.join(broadcast_if_small(where.select("lid", "h1", "h2"), 32, SIDE_BYTES), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
     texts = stored(texts.select("lid", "norm", *letter_counts(F.col("norm"))), "line-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         # Verifying costs much more than its bytes tell, so the pairs are spread by their number.
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS_A_TASK)
-        both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("x")), "a").repartition(parts, "b")
-        both = both.join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("y")).repartition(parts, "b"), "b")
+        side = lambda c, norm: sifted(texts.select(F.col("lid").alias(c), F.col("norm").alias(norm)), c, pairs)
+        both = pairs.join(side("a", "x"), "a").repartition(parts, "b").join(side("b", "y").repartition(parts, "b"), "b")
         return checkpointed(similar(both).select("a", "b"))
 
     good = verified(wanted)

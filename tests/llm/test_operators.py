@@ -275,6 +275,48 @@ def test_table_rows_of_one_large_key(spark, monkeypatch):
     assert len(ruled_out) > 1000 and all(edits(r.x, r.y) > 0.2 * max(len(r.x), len(r.y)) + 1e-9 for r in ruled_out)
 
 
+def test_sifted_rows(spark):
+    """All rows that are looked for, null included, and few others."""
+    F, rows = lines.F, spark.range(40_000).selectExpr("nullif(id, 7) as id", "id as other")
+    for among in (spark.createDataFrame([], "id long"), rows.where("id % 20 = 3").select("id"), rows.where("other < 9").select("id")):
+        want = {r.id for r in among.collect()}
+        got = [tuple(r) for r in common.sifted(rows, "id", among).collect()]
+        assert len(got) == len(set(got)) and set(got) >= {(i, 7 if i is None else i) for i in want} and len(got) <= len(want) + 40_000 / 8
+    assert common.sifted(rows, "id", rows).columns == rows.columns and common.sifted(rows, "id", rows).agg(F.count("*")).first()[0] == 40_000
+
+
+def test_texts_of_lines_in_question_only(spark, monkeypatch):
+    """Of many unlike lines only those that have a key in common with others go on to the joins, and the groups are found."""
+    rng = np.random.default_rng(4)
+    vocab = ["".join(rng.choice(list("aeioulnrst"), rng.integers(3, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(vocab, 24)) for _ in range(1500)]
+    texts += [f"{t} {vocab[0]}" for t in texts[:20]]
+    keyed = common.with_keys(docs(spark, list(enumerate(texts)))).select(common.ID, common.TEXT_HASH, "text")
+    distinct = lines.distinct_lines(lines.simhashed(keyed))
+    passed, plain = [], lines.sifted
+
+    def sifted(df, key, among):
+        out = plain(df, key, among)
+        passed.append((df.count(), df.join(among.select(key).distinct(), key).count(), out.count()))
+        return out
+
+    monkeypatch.setattr(lines, "sifted", sifted)
+    found = lines.line_links(keyed, distinct).groupBy("component").agg(lines.F.count("*").alias("k")).collect()
+    assert sorted(r.k for r in found) == [2] * 20
+    assert len(passed) >= 4 and all(wanted <= out <= wanted + rows / 8 for rows, wanted, out in passed) and min(out for *_, out in passed) < 100
+
+
+def test_shared_keys_and_blank_lines(spark):
+    """Keys that several lines have, against those of each line; white space of any kind alone is no line, other spaces are."""
+    keyed = common.with_keys(docs(spark, [(i, f"alpha beta w{i % 9} gamma x{i % 4}\nrow {i % 5}\n \t\x0b\f\r\n\n\u00a0") for i in range(60)])).select(common.ID, common.TEXT_HASH, "text")
+    each = lines.lines_of(keyed).collect()
+    assert len(each) == 180 and {r.line for r in each} == {0, 1, 4}
+    distinct = lines.distinct_lines(lines.simhashed(keyed))
+    own = [(k, r.lid) for r in distinct.withColumn("keys", lines.block_keys()).collect() for k in r["keys"]]
+    count = {k: sum(x == k for x, _ in own) for k, _ in own}
+    assert sorted((r.key, r.lid, r.k) for r in lines.shared_keys(distinct).collect()) == sorted((k, lid, count[k]) for k, lid in own if count[k] > 1)
+
+
 def test_similar_lines_against_edit_distance(spark, monkeypatch):
     """Replaced, inserted, deleted and moved words, runs of them, and single letters: what is kept is what the plain distance keeps."""
     rng = np.random.default_rng(3)
