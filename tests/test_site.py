@@ -127,3 +127,28 @@ def test_breadcrumb_loops_of_any_length(spark, n):
             values += [(f"p{k}", f"_:b{k}", "itemListElement", "id", item), (f"p{k}", item, "position", "literal", str(at + 1)), (f"p{k}", item, "item", "id", url)]
     got = keys(site(spark, values, pages=len(pairs), types=types), "breadcrumb.cycle")
     assert got == {" > ".join(u(k) for k in range(n))}
+
+
+def test_pairs_of_identity_fracture_are_made_once_and_not_shuffled(spark):
+    """Against brute force: shared names and links, more than ``few`` links, groups of more than one cell, types that clash."""
+    from pyspark.sql import functions as F
+
+    from siteweave.operators.checks import fracture_pairs
+
+    values, types = [], {}
+    for i in range(40):
+        node, page = f"https://s.test/#n{i:02}", f"p{i % 6}"
+        types[node] = ("Organization", "LocalBusiness", "Event")[i % 3]
+        values += [(page, node, "name", "literal", f" Name {i % 4}"), (page, node, "name", "literal", f"Other {i % 5}")] + [(page, node, "sameAs", "id", f"https://x.test/{(i + k) % 8}") for k in range(1 + i % 5)]
+    of = lambda prop: {n: {v[4].strip().lower() for v in values if v[1] == n and v[2] == prop} for n in types}
+    named, linked, up = of("name"), of("sameAs"), {n: set(rules.ancestors(t)) for n, t in types.items()}
+    want = sorted((x, y, name) for x in types for y in types if x < y and linked[x] & linked[y] and (up[x] <= up[y] or up[y] <= up[x]) for name in named[x] & named[y])
+    ctx = site(spark, values, types=types)
+    for few, cell in ((64, 4096), (3, 4), (1, 2)):
+        assert sorted((r.x, r.y, r.name) for r in fracture_pairs(ctx, few, cell).collect()) == want
+    pairs = catalogue.QUERIES["graph_identity_fracture_part"](spark, "/root/testdata/sf0.001")
+    pairs.agg(F.count("*")).collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    # Above the join that makes pairs of links seen once, nothing is exchanged.
+    first = min(k for k, line in enumerate(plan.splitlines()) if "Join" in line)
+    assert not any("Exchange" in line for line in plan.splitlines()[:first])
