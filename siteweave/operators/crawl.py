@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.url import could_be_page
+from ..session import TASK_ROWS, dealt, tasks_for
 
 MOST_PAGES, MOST_HOPS = 100, 50
 
@@ -18,9 +19,16 @@ def select_sample(candidates: DataFrame, most: int = MOST_PAGES) -> DataFrame:
     return c.where(F.col("turn") <= most).withColumn("place", place).where(F.col("place") <= most).select("site", "url", "sitemap", "place")
 
 
-def link_hop(links: DataFrame, known: DataFrame, most: int = MOST_HOPS) -> DataFrame:
-    """Targets no sitemap lists, by the number of pages that link to them, then by URL."""
-    t = links.where("internal").groupBy("site", "to_url").agg(F.count_distinct("from_page").alias("pages")).where(could_be_page(F.col("to_url")))
+def link_hop(links: DataFrame, known: DataFrame, most: int = MOST_HOPS, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Targets no sitemap lists, by the number of pages that link to them, then by URL.
+
+    Links are made distinct in tasks of about ``task_rows`` of them, dealt by page and target, so that neither a large table nor a
+    page that all others link to fills a task; the counts are then summed by target.
+    """
+    own = ("site", "to_url", "from_page")
+    each = links.where("internal").where(could_be_page(F.col("to_url"))).select(*own)
+    each = dealt(each, tasks_for(links.count(), links.sparkSession, task_rows), *own).distinct()
+    t = each.groupBy("site", "to_url").agg(F.count("from_page").alias("pages"))
     t = t.join(known.select("site", F.col("url").alias("to_url")).distinct(), ["site", "to_url"], "left_anti")
     return t.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("pages"), "to_url"))).where(F.col("rank") <= most)
 

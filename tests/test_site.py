@@ -152,3 +152,22 @@ def test_pairs_of_identity_fracture_are_made_once_and_not_shuffled(spark):
     # Above the join that makes pairs of links seen once, nothing is exchanged.
     first = min(k for k, line in enumerate(plan.splitlines()) if "Join" in line)
     assert not any("Exchange" in line for line in plan.splitlines()[:first])
+
+
+def test_link_hop_deals_links_to_tasks_of_bounded_rows(spark):
+    """A page that all link to, repeats, a page without address, outside links, assets and known pages; the same in one task and in many."""
+    from siteweave.operators import crawl
+
+    u = "https://s.test/"
+    rows = [("s", f"p{k}", u + "home", True) for k in range(300)] * 2 + [("s", f"p{k % 7}", f"{u}{k % 40}", True) for k in range(400)] + [("s", None, u + "alone", True), ("s", "p1", "https://o.test/", False), ("s", "p1", u + "a.css", True)]
+    links = spark.createDataFrame(rows, "site string, from_page string, to_url string, internal boolean")
+    known = spark.createDataFrame([("s", u + "3")], "site string, url string")
+    seen = {}
+    for _, page, to, internal in rows:
+        if internal and to not in (u + "3", u + "a.css"):
+            seen.setdefault(to, set()).update({page} - {None})
+    want = [(to, len(p), k + 1) for k, (to, p) in enumerate(sorted(seen.items(), key=lambda x: (-len(x[1]), x[0])))]
+    for most, many in ((1 << 20, False), (50, True)):
+        got = crawl.link_hop(links, known, task_rows=most)
+        assert sorted(((r.to_url, r.pages, r["rank"]) for r in got.collect()), key=lambda x: x[2]) == want
+        assert ("REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()) == many
