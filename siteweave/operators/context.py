@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import rules
 from ..functions.text import finding_id, https_schema, short_iri
+from ..session import TASK_ROWS, dealt, tasks_for
 
 ROWS = ("site", "key", "subject", "property", "value", "page_id", "pattern")
 LISTED, AGGREGATE_FROM = 10, 3
@@ -42,6 +43,15 @@ class Context:
     partial: bool = False
     hop_complete: bool = True
     extra: dict = field(default_factory=dict)
+    task_rows: int = TASK_ROWS
+
+    @cached_property
+    def tasks(self) -> int:
+        """In how many partitions nodes and values are dealt; 0 for a site so small that it needs none."""
+        return tasks_for(sum(x.count() for x in (self.nodes_all, self.values_all) if x is not None), self.spark, self.task_rows)
+
+    def dealt(self, df: DataFrame, *keys: str) -> DataFrame:
+        return dealt(df, self.tasks, *keys)
 
     def _empty(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
@@ -57,11 +67,11 @@ class Context:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return (self.nodes_all if self.nodes_all is not None else self._empty(NODE_SCHEMA)).join(self._audited, ["site", "page_id"], "left_semi")
+        return self.dealt(self.nodes_all if self.nodes_all is not None else self._empty(NODE_SCHEMA), "site", "page_id").join(self._audited, ["site", "page_id"], "left_semi")
 
     @cached_property
     def raw_values(self) -> DataFrame:
-        return (self.values_all if self.values_all is not None else self._empty(VALUE_SCHEMA)).join(self._audited, ["site", "page_id"], "left_semi")
+        return self.dealt(self.values_all if self.values_all is not None else self._empty(VALUE_SCHEMA), "site", "page_id").join(self._audited, ["site", "page_id"], "left_semi")
 
     @cached_property
     def site_host(self) -> DataFrame:
@@ -82,7 +92,10 @@ class Context:
 
     @cached_property
     def values(self) -> DataFrame:
-        """All values with what they denote: text, a named id, or the content of a blank node three references deep."""
+        """All values with what they denote: text, a named id, or the content of a blank node three references deep.
+
+        Only texts that can name a blank node (``_:``) are dealt by text to find it: a common text would fill a task.
+        """
         v = self.raw_values.where("prop IS NOT NULL")
         blank = self.nodes.where("is_blank").select("site", "node_id", F.to_json(F.array_sort("types")).alias("digest")).dropDuplicates(["site", "node_id"])
         plain = F.concat_ws("", "kind", F.lit(":"), F.coalesce("text", F.lit("")))
@@ -93,14 +106,19 @@ class Context:
             props = inner.groupBy("site", "node_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("prop", "d")))), 256).alias("p"))
             types = self.nodes.where("is_blank").select("site", "node_id", F.to_json(F.array_sort("types")).alias("t")).dropDuplicates(["site", "node_id"])
             blank = types.join(props, ["site", "node_id"], "left").select("site", "node_id", F.concat_ws("|", "t", "p").alias("digest"))
-        return v.join(blank.select("site", F.col("node_id").alias("text"), "digest"), ["site", "text"], "left").withColumn("denoted", F.coalesce(F.concat(F.lit("node:"), "digest"), plain)).drop("digest")
+        named = F.coalesce(F.col("text").startswith("_:"), F.lit(False))
+        refs = v.where(named).join(blank.select("site", F.col("node_id").alias("text"), "digest"), ["site", "text"], "left").withColumn("denoted", F.coalesce(F.concat(F.lit("node:"), "digest"), plain))
+        return refs.drop("digest").unionByName(v.where(~named).withColumn("denoted", plain))
 
     @cached_property
     def groups(self) -> DataFrame:
         """Observations of named entities that have a type and a property."""
-        has = self.raw_values.where("prop IS NOT NULL").select("site", "page_id", "node_ord", "node_id").distinct().withColumn("has", F.lit(True))
-        o = self.nodes.where("NOT is_blank").join(has, ["site", "page_id", "node_ord", "node_id"], "left")
-        return o.where(F.col("has") & (F.size("types") > 0)).drop("has")
+        own = ["site", "page_id", "node_ord", "node_id"]
+        return self.dealt(self._entities, *own).join(self.raw_values.where("prop IS NOT NULL").select(*own), own, "left_semi")
+
+    @property
+    def _entities(self) -> DataFrame:
+        return self.nodes.where(~F.col("is_blank") & (F.size("types") > 0))
 
     @cached_property
     def closure(self) -> DataFrame:
