@@ -191,3 +191,12 @@ def test_verdicts_dealt_to_tasks_of_bounded_rows(spark):
         plan = ctx.values._jdf.queryExecution().optimizedPlan().toString()
         assert "StartsWith(text" in plan
     assert found[0] == found[1] and len(found[0][0]) == 45 + 9 + 3
+
+
+def test_page_scoped_verdict_of_dealt_values(spark):
+    """An address for each page of one entity: page-scoped, in one task and in many, and no page's observation is lost."""
+    from siteweave.operators import checks
+
+    for most in (1 << 20, 2):
+        ctx = site(spark, [(f"p{i}", "https://s.test/#o", "url", "id", f"https://s.test/{i}") for i in range(30)], pages=30, task_rows=most)
+        assert [(r.verdict, r.n_buckets, r.n_carriers, r.n_obs) for r in checks.verdicts(ctx, "https://schema.org/url").collect()] == [("page-scoped", 30, 30, 30)]
